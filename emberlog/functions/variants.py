@@ -10,12 +10,22 @@ from pyspark.sql import functions as F
 from .text import strip
 
 
+def parse_json(text: Column) -> Column:
+    """JSON text -> VARIANT, null when it is not exactly one JSON value.
+
+    The variant reader stops after the first value and ignores what follows; counting the elements of the
+    text inside brackets finds trailing text.
+    """
+    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.when(single, F.try_parse_json(text))
+
+
 def parse_object(text: Column, openers: str = "{") -> Column:
-    """JSON text -> VARIANT, null when it is not JSON or does not open with one of ``openers``."""
+    """As :func:`parse_json`, for text that opens with one of ``openers`` and closes accordingly."""
     trimmed = strip(text)
     opens = reduce(lambda a, b: a | b, [trimmed.startswith(o) for o in openers])
     closes = reduce(lambda a, b: a | b, [trimmed.endswith({"{": "}", "[": "]"}[o]) for o in openers])
-    return F.when(opens & closes, F.try_parse_json(trimmed))
+    return F.when(opens & closes, parse_json(trimmed))
 
 
 def member(doc: Column, key: str) -> Column:

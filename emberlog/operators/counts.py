@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.levels import is_error, is_warning
 from ..functions.rates import error_rate, parse_success_rate
 from ..functions.text import is_blank
+from ..runtime import settle
 from ..schema import DEFAULT_SAMPLES, MAX_SAMPLES, TOP_K
 from .ranking import first_k, top_k
 
@@ -45,7 +46,9 @@ def level_counts(entries: DataFrame) -> DataFrame:
 
 
 def status_counts(entries: DataFrame) -> DataFrame:
-    coded = entries.where(F.col("parsed") & F.col("status").isNotNull())
+    coded = settle(entries.select("source_path", "line_id", "parsed", "status"), "status").where(
+        F.col("parsed") & F.col("status").isNotNull()
+    )
     return coded.groupBy("source_path", "status").agg(
         F.count(F.lit(1)).alias("n"), F.min("line_id").alias("first_line")
     )
@@ -60,7 +63,8 @@ def _ranked_values(rows: DataFrame, value: str, k: int) -> DataFrame:
 
 def top_sources(entries: DataFrame, k: int = TOP_K) -> DataFrame:
     """Most frequent sources per file, ties to the one seen first."""
-    return _ranked_values(entries.where(F.col("parsed") & (F.col("source") != "")), "source", k)
+    named = settle(entries.select("source_path", "line_id", "parsed", "source"), "source")
+    return _ranked_values(named.where(F.col("parsed") & (F.col("source") != "")), "source", k)
 
 
 def top_errors(entries: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -123,7 +127,7 @@ def severity_samples(entries: DataFrame, k: int = DEFAULT_SAMPLES) -> DataFrame:
     """Error and warning samples in one pass; ``kind`` is ``error`` or ``warning``."""
     level = F.col("level")
     kind = F.when(is_error(level), "error").when(is_warning(level), "warning")
-    rows = entries.where("parsed").withColumn("kind", kind).where(F.col("kind").isNotNull())
+    rows = entries.where(F.col("parsed") & (is_error(level) | is_warning(level))).withColumn("kind", kind)
     return _samples(rows.select("source_path", "kind", *SAMPLE_FIELDS), ["source_path", "kind"], k)
 
 

@@ -14,7 +14,7 @@ from ..formats.base import pick_stamp
 from ..functions.levels import level_rank
 from ..functions.text import is_blank
 from ..functions.times import stamp_instant, stamp_wall_clock
-from ..runtime import broadcast_if_small, materialize
+from ..runtime import broadcast_if_small, materialize, settle
 from ..schema import ENTRIES, ENTRY_FIELDS, LEVELS
 
 
@@ -67,8 +67,14 @@ def parse_marked(lines: DataFrame, names: list[str], registry: FormatRegistry =
         return line_of(name, F.col("_inner") if registry.get(name).inner else None)
 
     parsed = F.coalesce(_per_format(names, lambda n: registry.get(n).parsed(ready(n))), F.lit(False))
-    blank = is_blank(raw)
-    staged = staged.withColumn("parsed", parsed & ~blank)
+    columns = {name: registry.get(name).columns(ready(name)) for name in names}
+
+    def field(key: str, default: Column | None = None) -> Column:
+        return F.when(F.col("parsed"), _per_format(names, lambda n: columns[n][key])).otherwise(default)
+
+    staged = staged.withColumn("parsed", parsed & ~is_blank(raw)).withColumn("level", field("level", F.lit("INFO")))
+    pieces = [c for c in ("_groups", "_doc", "_inner") if c in staged.columns]
+    staged = settle(staged, *pieces, "parsed", "level")
     candidates = max(len(f.stamps(ready(f.name))) if f.stamps else 0 for f in formats)
     if candidates:
         staged = staged.withColumn("_stamps", _per_format(names, lambda n: registry.get(n).stamps_of(ready(n))))
@@ -76,15 +82,10 @@ def parse_marked(lines: DataFrame, names: list[str], registry: FormatRegistry =
     else:
         staged = staged.withColumn("_stamp", F.lit(None).cast("string"))
     ok, stamp = F.col("parsed"), F.col("_stamp")
-    columns = {name: registry.get(name).columns(ready(name)) for name in names}
-
-    def field(key: str, default: Column | None = None) -> Column:
-        return F.when(ok, _per_format(names, lambda n: columns[n][key])).otherwise(default)
-
     fields = {
         "event_ts": F.when(ok, stamp_instant(stamp)),
         "event_ts_local": F.when(ok, stamp_wall_clock(stamp)),
-        "level": field("level", F.lit("INFO")),
+        "level": F.col("level"),
         "message": field("message", raw),
         "source": field("source"),
         "status": field("status"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import settle
 from ..schema import DEFAULT_SAMPLES
 from .counts import severity_samples
 from .ranking import first_k
@@ -24,9 +25,14 @@ def bucket_start(ts: Column, bucket: str) -> Column:
     return F.window(ts, bucket_width(bucket))["start"]
 
 
+def _stamped(entries: DataFrame) -> DataFrame:
+    times = settle(entries.select("source_path", "event_ts_local"), "event_ts_local")
+    return times.where(F.col("event_ts_local").isNotNull())
+
+
 def temporal_distribution(entries: DataFrame, bucket: str = DEFAULT_BUCKET) -> DataFrame:
     """Entries per bucket; entries without a timestamp are skipped, empty buckets are absent."""
-    stamped = entries.where(F.col("event_ts_local").isNotNull())
+    stamped = _stamped(entries)
     return (
         stamped.groupBy("source_path", F.window("event_ts_local", bucket_width(bucket)).alias("_w"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -35,7 +41,7 @@ def temporal_distribution(entries: DataFrame, bucket: str = DEFAULT_BUCKET) -> D
 
 
 def hourly_distribution(entries: DataFrame) -> DataFrame:
-    stamped = entries.where(F.col("event_ts_local").isNotNull())
+    stamped = _stamped(entries)
     return stamped.groupBy("source_path", F.hour("event_ts_local").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -46,3 +46,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataF
     """
     within = df.select(F.lit(1)).limit(limit + 1).count() <= limit
     return F.broadcast(df) if within else df
+
+
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Keep the named columns as computed values that later filters look at.
+
+    Spark moves a filter below a projection by copying the column's expression into it; for a parsed
+    field that repeats the parsing. A filter on a column that comes out of ``explode`` stays above it.
+    """
+    others = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    packed = F.explode(F.array(F.struct(*names))).alias("_settled")
+    kept = df.select(*others, packed)
+    return kept.select(*[F.col(f"_settled.{c}").alias(c) if c in names else F.col(f"`{c}`") for c in df.columns])
