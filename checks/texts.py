@@ -83,7 +83,7 @@ def base_name_query(spark, sf_dir):
 
 @query(
     "strip",
-    f"WITH {_DOC_LINES} SELECT doc_id, line_no, trim(raw, E' \\t\\r\\n\\u00a0\\u2003\\u3000') AS text FROM l",
+    f"WITH {_DOC_LINES} SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(13) || chr(160) || chr(8195) || chr(12288)) AS text FROM l",
 )
 def strip_query(spark, sf_dir):
     """Lines framed in Unicode white space, then stripped."""

@@ -84,14 +84,14 @@ def register_format(
 def matches(name: str, raw: Column, registry: FormatRegistry = DEFAULT_REGISTRY) -> Column:
     """TRUE where a line counts as this format."""
     fmt = registry.get(name)
-    return fmt.matches(fmt.line(raw))
+    return fmt.matches(Line(fmt, raw))
 
 
 def fields(name: str, raw: Column, registry: FormatRegistry = DEFAULT_REGISTRY) -> dict[str, Column]:
-    """The entry fields of a line read as this format."""
+    """The entry fields of a line read as this format, as plain expressions of the line."""
     fmt = registry.get(name)
-    line = fmt.line(raw)
-    stamp = pick_stamp(fmt.stamps_of(line), max(1, len(fmt.stamps(line)) if fmt.stamps else 1))
+    line = Line(fmt, raw)
+    stamp = pick_stamp(fmt.stamps_of(line), max(1, fmt.stamp_count(line)))
     return {
         "event_ts": stamp_instant(stamp),
         "event_ts_local": stamp_wall_clock(stamp),

@@ -1,4 +1,4 @@
-"""What a log format is: expressions over one line."""
+"""What a log format is: lazy column expressions over one line, in steps."""
 
 from __future__ import annotations
 
@@ -14,18 +14,23 @@ from ..functions.variants import parse_object
 
 
 class Line:
-    """Intermediate columns of one line, shared by all fields of a format.
+    """The pieces of one line that a format's expressions refer to.
 
-    ``raw`` the line, ``groups`` the captured groups, ``doc`` the line as VARIANT,
-    ``inner`` a VARIANT found inside the message.
+    ``raw`` the line, ``text`` the line as the format looks at it, ``groups`` captured groups, ``doc`` the
+    line as VARIANT, ``cells`` an array of VARIANT values, and named words: texts that several fields use.
+    A piece is either a stored column of an earlier step or the expression itself.
     """
 
-    def __init__(self, fmt: LogFormat, raw: Column, groups: Column, doc: Column, inner: Column):
-        self._shapes = fmt.shapes
+    def __init__(self, fmt: LogFormat, raw: Column, **pieces: Column):
+        self._fmt = fmt
         self.raw = raw
-        self.groups = groups
-        self.doc = doc
-        self.inner = inner
+        self.text = pieces.get("text", fmt.text_of(raw))
+        self.groups = pieces.get("groups", fmt.groups_of(self.text))
+        self.doc = pieces.get("doc", fmt.doc_of(self.text))
+        self._words: dict[str, Column] = {}
+        self.cells = pieces.get("cells", fmt.cells_of(self))
+        for step in fmt.steps:
+            self._words.update({name: pieces.get(f"word_{name}", word) for name, word in step(self).items()})
 
     @property
     def tag(self) -> Column:
@@ -38,8 +43,9 @@ class Line:
 
     def group(self, name: str) -> Column:
         """Captured text; null when no shape with this group matched."""
-        spots = {s.tag: s.names.index(name) + 2 for s in self._shapes if name in s.names}
-        if len(spots) == len(self._shapes) and len(set(spots.values())) == 1:
+        shapes = self._fmt.shapes
+        spots = {s.tag: s.names.index(name) + 2 for s in shapes if name in s.names}
+        if len(spots) == len(shapes) and len(set(spots.values())) == 1:
             return F.get(self.groups, F.lit(next(iter(spots.values()))))
         chain = None
         for tag, spot in spots.items():
@@ -51,50 +57,56 @@ class Line:
         """Captured text of an optional group; null when it is empty."""
         return F.nullif(self.group(name), F.lit(""))
 
+    def cell(self, position: int) -> Column:
+        return F.get(self.cells, F.lit(position))
 
-def _nothing(_: object) -> Column:
-    return F.lit(None)
+    def word(self, name: str) -> Column:
+        return self._words[name]
 
 
 @dataclass(frozen=True)
 class LogFormat:
     """A format is a set of lazy column expressions.
 
-    ``accepts``  the cheap look at a line that lets detection count it
     ``parsed``   the line yields an entry
     ``fields``   level, message and, where known, source, status, metadata
-    ``stamps``   candidate timestamps as stamp texts, first one that is a real date wins
+    ``accepts``  the look at a line that lets detection count it, when it is stricter than ``parsed``
+    ``stamps``   candidate timestamps as stamp texts; the first real date wins
+    ``shapes``   line layouts, ``openers`` first characters of JSON lines, ``strips`` trims the line first
+    ``cells``    JSON values that several expressions use, ``steps`` the same for texts, in order
     """
 
     name: str
     description: str
     parsed: Callable[[Line], Column]
     fields: Callable[[Line], dict[str, Column]]
-    stamps: Callable[[Line], list[Column]] | None = None
     accepts: Callable[[Line], Column] | None = None
+    stamps: Callable[[Line], list[Column]] | None = None
     shapes: tuple[Shape, ...] = ()
     strips: bool = False
     openers: str = ""
-    inner: Callable[[Line], Column] | None = None
+    cells: Callable[[Line], list[Column]] | None = None
+    steps: tuple[Callable[[Line], dict[str, Column]], ...] = ()
     priority: int = 0
 
-    def groups_of(self, raw: Column) -> Column:
-        if not self.shapes:
-            return F.lit(None).cast("array<string>")
-        return capture(strip(raw) if self.strips else raw, self.shapes)
+    @property
+    def trims(self) -> bool:
+        return self.strips or bool(self.openers)
+
+    def text_of(self, raw: Column) -> Column:
+        return strip(raw) if self.trims else raw
+
+    def groups_of(self, text: Column) -> Column:
+        return capture(text, self.shapes) if self.shapes else F.lit(None).cast("array<string>")
 
-    def doc_of(self, raw: Column) -> Column:
-        return parse_object(raw, self.openers) if self.openers else F.lit(None).cast("variant")
+    def doc_of(self, text: Column) -> Column:
+        return parse_object(text, self.openers) if self.openers else F.lit(None).cast("variant")
 
-    def inner_of(self, line: Line) -> Column:
-        return self.inner(line) if self.inner else F.lit(None).cast("variant")
+    def cells_of(self, line: Line) -> Column:
+        return F.array(*self.cells(line)) if self.cells else F.lit(None).cast("array<variant>")
 
-    def line(self, raw: Column, groups: Column | None = None, doc: Column | None = None, inner: Column | None = None) -> Line:
-        groups = self.groups_of(raw) if groups is None else groups
-        doc = self.doc_of(raw) if doc is None else doc
-        line = Line(self, raw, groups, doc, F.lit(None).cast("variant"))
-        line.inner = self.inner_of(line) if inner is None else inner
-        return line
+    def words_of(self, line: Line, step: int) -> dict[str, Column]:
+        return self.steps[step](line) if step < len(self.steps) else {}
 
     def matches(self, line: Line) -> Column:
         """Counts for detection: accepted and parsed."""
@@ -119,6 +131,9 @@ class LogFormat:
         found = self.stamps(line) if self.stamps else []
         return F.array(*[stamp.cast("string") for stamp in found]).cast("array<string>")
 
+    def stamp_count(self, line: Line) -> int:
+        return len(self.stamps(line)) if self.stamps else 0
+
 
 def pick_stamp(stamps: Column, count: int) -> Column:
     """First candidate that is a real timestamp."""

@@ -17,24 +17,31 @@ _CLOUDWATCH_TEXT = Shape(
 )
 
 
-def _cloudwatch_event(line: Line):
-    """The single event a JSON line stands for: first of a batch, else the object itself."""
-    return F.when(has(line.doc, "logEvents"), F.try_variant_get(line.doc, "$.logEvents[0]", "variant")).when(
-        has(line.doc, "message"), line.doc
-    )
+def _cloudwatch_cells(line: Line):
+    """Events of a batch, and the event the line stands for: first of a batch, else the object itself."""
+    batch = member(line.doc, "logEvents")
+    first = F.try_variant_get(line.doc, "$.logEvents[0]", "variant")
+    return [batch, F.when(batch.isNotNull(), first).when(has(line.doc, "message"), line.doc)]
+
+
+def _cloudwatch_words(line: Line):
+    body = F.coalesce(text_at(line.cell(1), "$.message"), F.lit(""))
+    return {
+        "body": F.when(line.cell(1).isNotNull(), body).otherwise(line.group("message")),
+        "stamp": F.coalesce(line.group("ts"), truthy_text(member(line.cell(1), "timestamp"))),
+    }
 
 
 def _cloudwatch_fields(line: Line):
-    event = line.inner
-    from_json = event.isNotNull()
-    batch = has(line.doc, "logEvents")
-    body = F.coalesce(text_at(event, "$.message"), F.lit(""))
+    from_json = line.cell(1).isNotNull()
+    batch = line.cell(0).isNotNull()
+    body = line.word("body")
     group = F.when(batch, F.nullif(text_at(line.doc, "$.logGroup"), F.lit("")))
     stream = F.when(batch, F.nullif(text_at(line.doc, "$.logStream"), F.lit("")))
-    text_level = F.coalesce(F.upper(line.optional("level")), level_from_message(line.group("message")), F.lit("INFO"))
+    named = F.when(line.matched, F.upper(line.optional("level")))
     return {
-        "level": F.when(from_json, F.coalesce(level_from_message(body), F.lit("INFO"))).otherwise(text_level),
-        "message": F.when(from_json, strip(body)).otherwise(line.group("message")),
+        "level": F.coalesce(named, level_from_message(line.word("folded"), folded=True), F.lit("INFO")),
+        "message": F.when(from_json, strip(body)).otherwise(body),
         "source": F.when(from_json, group),
         "metadata": F.when(
             from_json,
@@ -51,32 +58,45 @@ AWS_CLOUDWATCH = LogFormat(
     shapes=(_CLOUDWATCH_TEXT,),
     strips=True,
     openers="{",
-    inner=_cloudwatch_event,
-    accepts=lambda x: x.matched | has(x.doc, "logEvents") | has(x.doc, "logGroup") | has(x.doc, "logStream"),
-    parsed=lambda x: x.matched | x.inner.isNotNull(),
+    cells=_cloudwatch_cells,
+    steps=(_cloudwatch_words, lambda x: {"folded": F.lower(x.word("body"))}),
+    accepts=lambda x: x.matched | x.cell(0).isNotNull() | has(x.doc, "logGroup") | has(x.doc, "logStream"),
+    parsed=lambda x: x.matched | x.cell(1).isNotNull(),
     fields=_cloudwatch_fields,
-    stamps=lambda x: [cloud_stamp(F.coalesce(x.group("ts"), truthy_text(member(x.inner, "timestamp"))))],
+    stamps=lambda x: [cloud_stamp(x.word("stamp"))],
 )
 
 
-def _gcp_fields(line: Line):
+def _gcp_cells(line: Line):
     doc = line.doc
-    severity = F.upper(F.coalesce(text_at(doc, "$.severity"), F.lit("INFO")))
     payload = member(doc, "jsonPayload")
-    from_payload = F.when(
-        is_object(payload),
-        F.coalesce(
-            truthy_text(member(payload, "message")),
-            truthy_text(member(payload, "msg")),
-            F.to_json(payload),
-        ),
-    ).otherwise(text_of(payload))
-    message = F.when(has(doc, "textPayload"), text_at(doc, "$.textPayload")).otherwise(from_payload)
-    labels = member(doc, "labels")
-    resource_labels = F.try_variant_get(doc, "$.resource.labels", "variant")
+    return [
+        payload,
+        member(doc, "labels"),
+        F.try_variant_get(doc, "$.resource.labels", "variant"),
+        member(payload, "message"),
+        member(payload, "msg"),
+        member(doc, "textPayload"),
+    ]
+
+
+def _gcp_words(line: Line):
+    doc = line.doc
+    payload = line.cell(0)
+    from_payload = F.coalesce(truthy_text(line.cell(3)), truthy_text(line.cell(4)), text_of(payload))
     return {
-        "level": map_level(severity, "gcp"),
-        "message": strip(F.coalesce(message, F.lit(""))),
+        "severity": F.upper(F.coalesce(text_at(doc, "$.severity"), F.lit("INFO"))),
+        "message": F.when(line.cell(5).isNotNull(), text_of(line.cell(5))).otherwise(from_payload),
+        "stamp": text_at(doc, "$.timestamp"),
+    }
+
+
+def _gcp_fields(line: Line):
+    doc = line.doc
+    labels, resource_labels = line.cell(1), line.cell(2)
+    return {
+        "level": map_level(line.word("severity"), "gcp"),
+        "message": strip(F.coalesce(line.word("message"), F.lit(""))),
         "source": text_at(doc, "$.resource.type"),
         "metadata": text_map(
             parser_type="gcp_logging",
@@ -97,29 +117,37 @@ GCP_LOGGING = LogFormat(
     description="Google Cloud Logging JSON entries",
     openers="{",
     parsed=lambda x: has(x.doc, "severity") & has(x.doc, "timestamp"),
+    cells=_gcp_cells,
+    steps=(_gcp_words,),
     fields=_gcp_fields,
-    stamps=lambda x: [cloud_stamp(text_at(x.doc, "$.timestamp"))],
+    stamps=lambda x: [cloud_stamp(x.word("stamp"))],
 )
 
 
-def _azure_item(line: Line):
-    """First element of an array, else the object."""
+def _azure_cells(line: Line):
+    """The item: first element of an array, else the object."""
     first = F.try_variant_get(line.doc, "$[0]", "variant")
-    return F.when(strip(line.raw).startswith("["), F.when(is_object(first), first)).otherwise(line.doc)
+    item = F.when(line.text.startswith("["), F.when(text_of(first).startswith("{"), first)).otherwise(line.doc)
+    return [item]
+
+
+def _azure_words(line: Line):
+    item = line.cell(0)
+    level, number = member(item, "level"), member(item, "SeverityLevel")
+    return {
+        "word": F.when(is_string(level), F.upper(text_of(level))),
+        "number": F.when(level.isNull() & (F.schema_of_variant(number) == "BIGINT"), text_of(number)),
+        "stamp": F.coalesce(truthy_text(member(item, "time")), truthy_text(member(item, "TimeGenerated"))),
+        "properties": text_at(item, "$.properties"),
+        "context": text_at(item, "$.AdditionalContext"),
+    }
 
 
 def _azure_fields(line: Line):
-    item = line.inner
-    level = member(item, "level")
-    number = member(item, "SeverityLevel")
-    by_word = F.when(is_string(level), map_level(F.upper(text_of(level)), "azure", "INFO")).otherwise("INFO")
-    by_number = F.when(
-        F.schema_of_variant(number) == "BIGINT", map_level(text_of(number), "azure_number", "INFO")
-    ).otherwise("INFO")
-    properties = member(item, "properties")
-    context = member(item, "AdditionalContext")
+    item = line.cell(0)
+    by_number = map_level(line.word("number"), "azure_number", "INFO")
     return {
-        "level": F.when(level.isNotNull(), by_word).when(number.isNotNull(), by_number).otherwise("INFO"),
+        "level": F.when(line.word("word").isNotNull(), map_level(line.word("word"), "azure", "INFO")).otherwise(by_number),
         "message": strip(
             F.coalesce(truthy_text(member(item, "message")), truthy_text(member(item, "Message")), F.lit(""))
         ),
@@ -128,8 +156,8 @@ def _azure_fields(line: Line):
             parser_type="azure_monitor",
             operation=text_at(item, "$.operationName"),
             category=text_at(item, "$.category"),
-            properties=F.when(is_object(properties), F.to_json(properties)),
-            additional_context=F.when(is_object(context), F.to_json(context)),
+            properties=F.when(line.word("properties").startswith("{"), line.word("properties")),
+            additional_context=F.when(line.word("context").startswith("{"), line.word("context")),
         ),
     }
 
@@ -138,16 +166,13 @@ AZURE_MONITOR = LogFormat(
     name="azure_monitor",
     description="Azure Monitor and Application Insights records",
     openers="{[",
-    inner=_azure_item,
-    accepts=lambda x: (has(x.inner, "time") | has(x.inner, "TimeGenerated"))
-    & (has(x.inner, "level") | has(x.inner, "SeverityLevel")),
-    parsed=lambda x: is_object(x.inner),
+    cells=_azure_cells,
+    steps=(_azure_words,),
+    accepts=lambda x: (has(x.cell(0), "time") | has(x.cell(0), "TimeGenerated"))
+    & (has(x.cell(0), "level") | has(x.cell(0), "SeverityLevel")),
+    parsed=lambda x: x.cell(0).isNotNull(),
     fields=_azure_fields,
-    stamps=lambda x: [
-        cloud_stamp(
-            F.coalesce(truthy_text(member(x.inner, "time")), truthy_text(member(x.inner, "TimeGenerated")))
-        )
-    ],
+    stamps=lambda x: [cloud_stamp(x.word("stamp"))],
 )
 
 FORMATS = (AWS_CLOUDWATCH, GCP_LOGGING, AZURE_MONITOR)

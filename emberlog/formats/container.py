@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.levels import level_from_message, map_level
 from ..functions.text import Shape, strip
 from ..functions.times import cloud_stamp
-from ..functions.variants import has, is_object, parse_object, text_at
+from ..functions.variants import has, parse_object, text_at, text_of
 from .base import Line, LogFormat, text_map
 
 _CRI = Shape(
@@ -17,23 +17,25 @@ _CRI = Shape(
 )
 
 
-def _stream_level(message, stream):
+def _stream_level(line: Line):
     """Level named in the message, else WARNING for stderr and INFO for stdout."""
-    return F.coalesce(level_from_message(message), F.when(stream == "stderr", "WARNING").otherwise("INFO"))
+    default = F.when(line.word("stream") == "stderr", "WARNING").otherwise("INFO")
+    return F.coalesce(level_from_message(line.word("folded"), folded=True), default)
+
+
+def _fold(line: Line):
+    return {"folded": F.lower(line.word("message"))}
 
 
 def _has_docker_keys(line: Line):
     return has(line.doc, "log") & has(line.doc, "stream") & has(line.doc, "time")
 
 
-def _docker_fields(line: Line):
-    message = F.rtrim(F.coalesce(text_at(line.doc, "$.log"), F.lit("")), F.lit("\n"))
-    stream = F.coalesce(text_at(line.doc, "$.stream"), F.lit("stdout"))
+def _docker_words(line: Line):
     return {
-        "level": _stream_level(message, stream),
-        "message": message,
-        "source": stream,
-        "metadata": text_map(parser_type="docker_json", stream=stream),
+        "message": F.rtrim(F.coalesce(text_at(line.doc, "$.log"), F.lit("")), F.lit("\n")),
+        "stream": F.coalesce(text_at(line.doc, "$.stream"), F.lit("stdout")),
+        "stamp": text_at(line.doc, "$.time"),
     }
 
 
@@ -41,23 +43,35 @@ DOCKER_JSON = LogFormat(
     name="docker_json",
     description="Docker container logs, one JSON object per line",
     openers="{",
+    steps=(_docker_words, _fold),
     accepts=_has_docker_keys,
     parsed=lambda x: x.doc.isNotNull(),
-    fields=_docker_fields,
-    stamps=lambda x: [cloud_stamp(text_at(x.doc, "$.time"))],
+    fields=lambda x: {
+        "level": _stream_level(x),
+        "message": x.word("message"),
+        "source": x.word("stream"),
+        "metadata": text_map(parser_type="docker_json", stream=x.word("stream")),
+    },
+    stamps=lambda x: [cloud_stamp(x.word("stamp"))],
 )
 
 
+def _kubernetes_words(line: Line):
+    """The CRI groups, or the Docker keys when the line is no CRI line."""
+    docker = _docker_words(line)
+    names = {"message": "message", "stream": "stream", "stamp": "ts"}
+    return {word: F.when(line.matched, line.group(group)).otherwise(docker[word]) for word, group in names.items()}
+
+
 def _kubernetes_fields(line: Line):
-    docker = _docker_fields(line)
-    message, stream = line.group("message"), line.group("stream")
+    stream = line.word("stream")
     return {
-        "level": F.when(line.matched, _stream_level(message, stream)).otherwise(docker["level"]),
-        "message": F.when(line.matched, message).otherwise(docker["message"]),
-        "source": F.when(line.matched, stream).otherwise(docker["source"]),
+        "level": _stream_level(line),
+        "message": line.word("message"),
+        "source": stream,
         "metadata": F.when(
             line.matched, text_map(parser_type="kubernetes_cri", stream=stream, flag=line.group("flag"))
-        ).otherwise(text_map(parser_type="kubernetes_json", stream=docker["source"])),
+        ).otherwise(text_map(parser_type="kubernetes_json", stream=stream)),
     }
 
 
@@ -67,41 +81,48 @@ KUBERNETES = LogFormat(
     shapes=(_CRI,),
     strips=True,
     openers="{",
+    steps=(_kubernetes_words, _fold),
     parsed=lambda x: x.matched | _has_docker_keys(x),
     fields=_kubernetes_fields,
-    stamps=lambda x: [cloud_stamp(F.coalesce(x.group("ts"), text_at(x.doc, "$.time")))],
+    stamps=lambda x: [cloud_stamp(x.word("stamp"))],
 )
 
 
+def _containerd_words(line: Line):
+    body = line.cell(0)
+    text = line.group("message")
+    return {
+        "message": F.when(has(body, "msg"), F.coalesce(text_at(body, "$.msg"), F.lit(""))).otherwise(text),
+        "stream": line.group("stream"),
+        "component": text_at(body, "$.component"),
+        "level": F.upper(text_at(body, "$.level")),
+        "stamp": line.group("ts"),
+    }
+
+
 def _containerd_fields(line: Line):
-    body = line.inner
-    as_object = is_object(body)
-    stream = line.group("stream")
-    message = F.when(as_object & has(body, "msg"), F.coalesce(text_at(body, "$.msg"), F.lit(""))).otherwise(
-        line.group("message")
-    )
-    component = F.when(as_object, text_at(body, "$.component"))
-    word = F.upper(text_at(body, "$.level"))
-    level = F.coalesce(F.nullif(map_level(word, "containerd", ""), F.lit("")), _stream_level(message, stream))
+    known = F.nullif(map_level(line.word("level"), "containerd", ""), F.lit(""))
     return {
-        "level": level,
-        "message": strip(message),
-        "source": F.coalesce(F.nullif(component, F.lit("")), stream),
+        "level": F.coalesce(known, _stream_level(line)),
+        "message": strip(line.word("message")),
+        "source": F.coalesce(F.nullif(line.word("component"), F.lit("")), line.word("stream")),
         "metadata": text_map(
             parser_type="containerd_cri",
-            stream=stream,
+            stream=line.word("stream"),
             flag=line.group("flag"),
-            component=component,
-            json_data=F.when(as_object, F.to_json(body)),
+            component=line.word("component"),
+            json_data=text_of(line.cell(0)),
         ),
     }
 
 
 def _containerd_accepts(line: Line):
     message = line.group("message")
-    structured = has(line.inner, "component") | has(line.inner, "level") | has(line.inner, "msg")
+    body = line.cell(0)
     return line.matched & (
-        F.coalesce(structured, F.lit(False))
+        has(body, "component")
+        | has(body, "level")
+        | has(body, "msg")
         | message.contains("[INFO]")
         | message.contains("plugin/")
         | message.contains("component")
@@ -113,11 +134,12 @@ CONTAINERD = LogFormat(
     description="containerd CRI logs, text or JSON messages",
     shapes=(_CRI,),
     strips=True,
-    inner=lambda x: parse_object(x.group("message")),
+    cells=lambda x: [parse_object(strip(x.group("message")))],
+    steps=(_containerd_words, _fold),
     accepts=_containerd_accepts,
     parsed=lambda x: x.matched,
     fields=_containerd_fields,
-    stamps=lambda x: [cloud_stamp(x.group("ts"))],
+    stamps=lambda x: [cloud_stamp(x.word("stamp"))],
 )
 
 FORMATS = (DOCKER_JSON, KUBERNETES, CONTAINERD)

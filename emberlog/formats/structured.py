@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.levels import infer_level, map_level, syslog_priority
 from ..functions.text import Shape
 from ..functions.times import epoch_stamp, offset_text, stamp_text
-from ..functions.variants import first_present, is_object, is_string, member, printed, text_of, truthy_text
+from ..functions.variants import first_present, is_string, member, printed, text_of, truthy_text
 from .base import Line, LogFormat, text_map
 
 # Keys tried in this order.
@@ -26,9 +26,8 @@ _LENIENT = rf"^{_DATE}T{_CLOCK}(?:\.\d+)?$"
 _NUMBER = r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"
 
 
-def _json_stamp(value: Column, lenient: bool) -> Column:
+def _json_stamp(value: Column, text: Column, lenient: bool) -> Column:
     """Stamp text of one value: a known date layout, or a number of epoch seconds."""
-    text = text_of(value)
     plain = rf"{_PLAIN}|{_LENIENT}" if lenient else _PLAIN
     seconds = text.try_cast("double")
     number = text.rlike(_NUMBER) & ~is_string(value) & (F.abs(seconds) < 253402300800)
@@ -40,15 +39,28 @@ def _json_stamp(value: Column, lenient: bool) -> Column:
     )
 
 
+_KEYED = (LEVEL_KEYS, MESSAGE_KEYS, SOURCE_KEYS, ["status"])
+
+
+def _json_cells(line: Line):
+    """First present value of each field, then every timestamp candidate."""
+    stamps = [member(line.doc, key) for key in TIMESTAMP_KEYS]
+    return [first_present(line.doc, keys) for keys in _KEYED] + stamps
+
+
+def _json_words(line: Line):
+    word = F.upper(printed(line.cell(0)))
+    stamps = {f"stamp{i}": text_of(line.cell(len(_KEYED) + i)) for i in range(len(TIMESTAMP_KEYS))}
+    return {"level": F.coalesce(F.nullif(word, F.lit("")), F.lit("INFO")), **stamps}
+
+
 def _json_fields(line: Line):
-    doc = line.doc
-    word = F.upper(printed(first_present(doc, LEVEL_KEYS)))
     return {
-        "level": map_level(F.coalesce(F.nullif(word, F.lit("")), F.lit("INFO")), "json"),
-        "message": F.coalesce(printed(first_present(doc, MESSAGE_KEYS)), F.lit("")),
-        "source": printed(first_present(doc, SOURCE_KEYS)),
-        "status": truthy_text(member(doc, "status")),
-        "metadata": F.try_variant_get(doc, "$", "map<string,string>"),
+        "level": map_level(line.word("level"), "json"),
+        "message": F.coalesce(printed(line.cell(1)), F.lit("")),
+        "source": printed(line.cell(2)),
+        "status": truthy_text(line.cell(3)),
+        "metadata": F.try_variant_get(line.doc, "$", "map<string,string>"),
     }
 
 
@@ -58,9 +70,13 @@ def json_format(lenient_ts: bool = False) -> LogFormat:
         name="json",
         description="JSON structured logging with common key names",
         openers="{",
-        parsed=lambda x: is_object(x.doc),
+        cells=_json_cells,
+        steps=(_json_words,),
+        parsed=lambda x: x.doc.isNotNull(),
         fields=_json_fields,
-        stamps=lambda x: [_json_stamp(member(x.doc, key), lenient_ts) for key in TIMESTAMP_KEYS],
+        stamps=lambda x: [
+            _json_stamp(x.cell(len(_KEYED) + i), x.word(f"stamp{i}"), lenient_ts) for i in range(len(TIMESTAMP_KEYS))
+        ],
     )
 
 
@@ -71,12 +87,26 @@ _TAGGED = r"(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s*(.*)$"
 _ISO_5424 = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:[+-]\d{2}:?\d{2}|Z)?)?$"
 
 
+def _syslog_words(line: Line):
+    stamp = F.replace(line.group("ts5424"), F.lit(","), F.lit("."))
+    priority = line.group("priority").try_cast("bigint")
+    return {
+        "priority": priority.cast("string"),
+        "folded": F.when(line.tag == "bsd", F.lower(line.group("message"))),
+        "stamp": F.when(stamp.rlike(_ISO_5424), stamp),
+    }
+
+
+def _syslog_zone(line: Line):
+    return {"zone": F.regexp_extract(line.word("stamp"), r"[T ].*?([+-]\d{2}:?\d{2}|Z)$", 1)}
+
+
 def _syslog_fields(line: Line):
-    priority = syslog_priority(line.group("priority"))
+    priority = syslog_priority(line.word("priority"))
     numbered = line.tag != "bsd"
     return {
         "level": F.when(numbered, map_level(priority["severity"].cast("string"), "syslog", "INFO")).otherwise(
-            infer_level(line.group("message"), "bsd")
+            infer_level(line.word("folded"), "bsd", folded=True)
         ),
         "message": line.group("message"),
         "source": line.group("hostname"),
@@ -94,11 +124,11 @@ def _syslog_fields(line: Line):
 
 
 def _syslog_stamps(line: Line):
-    text = F.replace(line.group("ts5424"), F.lit(","), F.lit("."))
-    whole = text.rlike(_ISO_5424)
-    zone = F.regexp_extract(text, r"[T ].*?([+-]\d{2}:?\d{2}|Z)$", 1)
-    wall = F.left(text, F.length(text) - F.length(zone))
-    return [F.when(whole, stamp_text(F.when(F.length(wall) <= 10, F.concat(wall, F.lit(" 00:00"))).otherwise(wall), offset_text(zone)))]
+    """A date alone means midnight."""
+    stamp, zone = line.word("stamp"), line.word("zone")
+    wall = F.left(stamp, F.length(stamp) - F.length(zone))
+    midnight = F.concat(stamp, F.lit(" 00:00"))
+    return [stamp_text(F.when(F.length(stamp) <= 10, midnight).otherwise(wall), offset_text(zone))]
 
 
 SYSLOG = LogFormat(
@@ -121,6 +151,7 @@ SYSLOG = LogFormat(
         )
     ),
     parsed=lambda x: x.matched,
+    steps=(_syslog_words, _syslog_zone),
     fields=_syslog_fields,
     stamps=_syslog_stamps,
 )

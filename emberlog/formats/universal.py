@@ -27,21 +27,37 @@ def _without_lead(text: Column, marks: tuple[str, ...]) -> Column:
     return F.when(marked, strip(F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
 
 
+def _found(line: Line) -> dict[str, Column]:
+    return {
+        "tail": strip(line.group("rest")),
+        "word": F.upper(F.regexp_extract(line.raw, _LEVEL_WORD, 1)),
+    }
+
+
+def _body(line: Line) -> dict[str, Column]:
+    """Text behind the timestamp, or the whole line."""
+    body = F.when(line.matched, _without_lead(line.word("tail"), ("-", ":"))).otherwise(line.raw)
+    return {"body": body, "folded": F.when(line.word("word") == "", F.lower(line.raw))}
+
+
+def _cut(line: Line) -> dict[str, Column]:
+    """Text behind a leading level word, null when the text does not start with one."""
+    word, body = line.word("word"), line.word("body")
+    leads = (word != "") & F.upper(body).startswith(word)
+    return {"cut": F.when(leads, strip(F.substring(body, F.length(word) + 1, F.length(body))))}
+
+
+def _message(line: Line) -> dict[str, Column]:
+    return {"message": F.coalesce(_without_lead(line.word("cut"), ("-", ":", "|")), line.word("body"))}
+
+
 def _fields(line: Line) -> dict[str, Column]:
-    raw = line.raw
-    after_stamp = F.when(line.matched, _without_lead(strip(line.group("rest")), ("-", ":"))).otherwise(raw)
-    word = F.regexp_extract(raw, _LEVEL_WORD, 1)
-    named = word != ""
-    leads = named & F.upper(after_stamp).startswith(F.upper(word))
-    after_word = F.when(
-        leads,
-        _without_lead(
-            strip(F.substring(after_stamp, F.length(word) + 1, F.length(after_stamp))), ("-", ":", "|")
-        ),
-    ).otherwise(after_stamp)
+    word = line.word("word")
     return {
-        "level": F.when(named, map_level(F.lower(word), "universal", "INFO")).otherwise(infer_level(raw, "universal")),
-        "message": F.when(after_word == "", raw).otherwise(after_word),
+        "level": F.when(word != "", map_level(word, "universal", "INFO")).otherwise(
+            infer_level(line.word("folded"), "universal", folded=True)
+        ),
+        "message": F.when(line.word("message") == "", line.raw).otherwise(line.word("message")),
         "metadata": text_map(
             parser_type="fallback",
             timestamp_raw=line.group("ts"),
@@ -54,6 +70,7 @@ UNIVERSAL = LogFormat(
     name="universal",
     description="Universal fallback parser for unknown formats",
     shapes=tuple(Shape(kind, rf".*?({pattern})(.*)$", ("ts", "rest")) for kind, pattern in TIMESTAMP_SHAPES),
+    steps=(_found, _body, _cut, _message),
     parsed=lambda x: ~is_blank(x.raw),
     fields=_fields,
 )

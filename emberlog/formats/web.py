@@ -23,26 +23,32 @@ def _clf_stamps(line: Line):
     return [F.when(line.group("year") != "", stamp_text(wall, offset_text(line.group("zone"))))]
 
 
-def _status(line: Line):
-    """Status without leading zeros; null for zero."""
-    return F.nullif(F.ltrim(line.group("status"), F.lit("0")), F.lit(""))
+def _access_words(line: Line):
+    """Status without leading zeros; ``0`` for zero."""
+    code = F.ltrim(line.group("status"), F.lit("0"))
+    return {"status": F.when(code == "", "0").otherwise(code)}
 
 
 def _access_fields(policy: str, client: str, extra: tuple[str, ...]):
     def fields(line: Line):
-        status = _status(line)
-        shown = F.coalesce(status, F.lit("0"))
         return {
-            "level": level_from_status(shown, policy),
+            "level": level_from_status(line.word("code"), policy),
             "message": line.group("request"),
             "source": line.group(client),
-            "status": status,
-            "metadata": text_map(status=shown, **{name: line.optional(name) for name in extra}),
+            "status": F.nullif(line.word("status"), F.lit("0")),
+            "metadata": text_map(status=line.word("status"), **{name: line.optional(name) for name in extra}),
         }
 
     return fields
 
 
+# A number too long for an INT still counts as a server error.
+_ACCESS_STEPS = (
+    _access_words,
+    lambda x: {"code": F.when(F.length(x.word("status")) > 9, "999999999").otherwise(x.word("status"))},
+)
+
+
 APACHE_ACCESS = LogFormat(
     name="apache_access",
     description="Apache access log, common or combined",
@@ -56,6 +62,7 @@ APACHE_ACCESS = LogFormat(
     ),
     parsed=lambda x: x.matched,
     fields=_access_fields("plain", "ip", ("size", "user", "referer", "user_agent")),
+    steps=_ACCESS_STEPS,
     stamps=_clf_stamps,
 )
 
@@ -72,6 +79,7 @@ NGINX_ACCESS = LogFormat(
     ),
     parsed=lambda x: x.matched,
     fields=_access_fields("verbose", "ip", ("size", "user", "referer", "user_agent", "forwarded")),
+    steps=_ACCESS_STEPS,
     stamps=_clf_stamps,
 )
 
@@ -87,13 +95,14 @@ NGINX = LogFormat(
     ),
     parsed=lambda x: x.matched,
     fields=_access_fields("plain", "client_ip", ("bytes", "user_agent", "referer")),
+    steps=_ACCESS_STEPS,
     stamps=_clf_stamps,
 )
 
 
 def _apache_error_fields(line: Line):
     return {
-        "level": map_level(F.lower(line.group("level")), "apache", "INFO"),
+        "level": map_level(line.word("level"), "apache", "INFO"),
         "message": line.group("message"),
         "source": line.optional("client"),
         "metadata": F.when(
@@ -114,6 +123,7 @@ APACHE_ERROR = LogFormat(
         Shape("legacy", r"\[([^\]]+)\]\s+\[(\w+)\]\s+(.+)$", ("ts", "level", "message")),
     ),
     parsed=lambda x: x.matched,
+    steps=(lambda x: {"level": F.lower(x.group("level"))},),
     fields=_apache_error_fields,
 )
 

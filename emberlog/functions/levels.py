@@ -74,18 +74,18 @@ LEVEL_TABLES: dict[str, dict[str, str]] = {
         "CRITICAL": "CRITICAL",
     },
     "universal": {
-        "fatal": "CRITICAL",
-        "critical": "CRITICAL",
-        "crit": "CRITICAL",
-        "error": "ERROR",
-        "err": "ERROR",
-        "warning": "WARNING",
-        "warn": "WARNING",
-        "info": "INFO",
-        "debug": "DEBUG",
-        "dbg": "DEBUG",
-        "trace": "DEBUG",
-        "notice": "INFO",
+        "FATAL": "CRITICAL",
+        "CRITICAL": "CRITICAL",
+        "CRIT": "CRITICAL",
+        "ERROR": "ERROR",
+        "ERR": "ERROR",
+        "WARNING": "WARNING",
+        "WARN": "WARNING",
+        "INFO": "INFO",
+        "DEBUG": "DEBUG",
+        "DBG": "DEBUG",
+        "TRACE": "DEBUG",
+        "NOTICE": "INFO",
     },
 }
 
@@ -133,9 +133,9 @@ def map_level(word: Column, table: str, default: str | None = None) -> Column:
     return known.otherwise(word if default is None else F.lit(default))
 
 
-def infer_level(text: Column, rule: str, default: str | None = "INFO") -> Column:
-    """Level from the first keyword group found in the text."""
-    haystack = text if rule in _CASE_SENSITIVE_RULES else F.lower(text)
+def infer_level(text: Column, rule: str, default: str | None = "INFO", folded: bool = False) -> Column:
+    """Level from the first keyword group found in the text; ``folded`` text is already in lower case."""
+    haystack = text if folded or rule in _CASE_SENSITIVE_RULES else F.lower(text)
     chain = None
     for level, words in KEYWORD_RULES[rule]:
         found = haystack.contains(words[0])
@@ -145,9 +145,9 @@ def infer_level(text: Column, rule: str, default: str | None = "INFO") -> Column
     return chain.otherwise(F.lit(default))
 
 
-def level_from_message(message: Column) -> Column:
+def level_from_message(message: Column, folded: bool = False) -> Column:
     """Level named anywhere in a message, most severe word first; null when none is."""
-    return infer_level(message, "message", default=None)
+    return infer_level(message, "message", default=None, folded=folded)
 
 
 def level_from_status(status: Column, policy: str = "plain") -> Column:

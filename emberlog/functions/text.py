@@ -25,7 +25,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return strip(text) == F.lit("")
+    """Only whitespace. Trimming the left side stops at the first other character."""
+    return F.ltrim(text, F.lit(WHITESPACE)) == F.lit("")
 
 
 def ellipsize(text: Column, n: int) -> Column:

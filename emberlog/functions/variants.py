@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
-
 
 def parse_json(text: Column) -> Column:
     """JSON text -> VARIANT, null when it is not exactly one JSON value.
@@ -21,11 +19,9 @@ def parse_json(text: Column) -> Column:
 
 
 def parse_object(text: Column, openers: str = "{") -> Column:
-    """As :func:`parse_json`, for text that opens with one of ``openers`` and closes accordingly."""
-    trimmed = strip(text)
-    opens = reduce(lambda a, b: a | b, [trimmed.startswith(o) for o in openers])
-    closes = reduce(lambda a, b: a | b, [trimmed.endswith({"{": "}", "[": "]"}[o]) for o in openers])
-    return F.when(opens & closes, parse_json(trimmed))
+    """As :func:`parse_json`, for trimmed text that opens with one of ``openers``."""
+    opens = reduce(lambda a, b: a | b, [text.startswith(o) for o in openers])
+    return F.when(opens, parse_json(text))
 
 
 def member(doc: Column, key: str) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..formats import DEFAULT_REGISTRY, FormatRegistry
-from ..functions.text import is_blank
+from ..formats.base import Line, LogFormat
+from ..functions.text import is_blank, strip
 from ..functions.variants import parse_object
 from ..schema import DETECT_SAMPLE, FALLBACK_FORMAT
 from .ranking import first_k
@@ -32,9 +35,8 @@ def detect_format(
 def score_formats(head: DataFrame, registry: FormatRegistry = DEFAULT_REGISTRY) -> DataFrame:
     """Score sampled lines (source_path, line_id, raw) against every format."""
     formats = registry.detectable()
-    read = head.withColumn("_doc", parse_object(F.col("raw"), "{["))
-    raw, doc = F.col("raw"), F.col("_doc")
-    flags = {f"_m{i}": fmt.matches(fmt.line(raw, doc=doc if fmt.openers else None)) for i, fmt in enumerate(formats)}
+    read = head.withColumn("_text", strip(F.col("raw"))).withColumn("_doc", parse_object(F.col("_text"), "{["))
+    flags = {f"_m{i}": fmt.matches(_shared_line(fmt)) for i, fmt in enumerate(formats)}
     matched = read.select("source_path", "line_id", *[flag.alias(name) for name, flag in flags.items()])
     tallies = []
     for name in flags:
@@ -61,6 +63,17 @@ def score_formats(head: DataFrame, registry: FormatRegistry = DEFAULT_REGISTRY)
     )
 
 
+def _shared_line(fmt: LogFormat) -> Line:
+    """A line whose trimmed text and JSON value are shared by all formats that look at them."""
+    pieces = {}
+    if fmt.trims:
+        pieces["text"] = F.col("_text")
+    if fmt.openers:
+        opens = reduce(lambda a, b: a | b, [F.col("_text").startswith(o) for o in fmt.openers])
+        pieces["doc"] = F.when(opens, F.col("_doc"))
+    return Line(fmt, F.col("raw"), **pieces)
+
+
 def with_fallback(formats: DataFrame, use_fallback: bool = True) -> DataFrame:
     """Undetected sources become ``universal``, or raise an error when the job runs."""
     if use_fallback:

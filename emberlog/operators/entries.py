@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..formats import DEFAULT_REGISTRY, FormatRegistry
-from ..formats.base import pick_stamp
+from ..formats.base import Line, pick_stamp
 from ..functions.levels import level_rank
 from ..functions.text import is_blank
 from ..functions.times import stamp_instant, stamp_wall_clock
@@ -44,40 +44,50 @@ def parse_marked(lines: DataFrame, names: list[str], registry: FormatRegistry =
     line is cut into groups, read as JSON, and mapped to fields, so each costly step runs once per line.
     """
     raw = F.col("raw")
-    formats = [registry.get(name) for name in names]
+    formats = {name: registry.get(name) for name in names}
+    stored: dict[str, dict[str, Column]] = {name: {} for name in names}
     staged = lines
-    if any(f.shapes for f in formats):
-        staged = staged.withColumn("_groups", _per_format(names, lambda n: registry.get(n).groups_of(raw)))
-    if any(f.openers for f in formats):
-        staged = staged.withColumn("_doc", _per_format(names, lambda n: registry.get(n).doc_of(raw)))
 
-    def line_of(name: str, inner: Column | None = None):
-        fmt = registry.get(name)
-        return fmt.line(
-            raw,
-            groups=F.col("_groups") if fmt.shapes else None,
-            doc=F.col("_doc") if fmt.openers else None,
-            inner=inner,
-        )
-
-    if any(f.inner for f in formats):
-        staged = staged.withColumn("_inner", _per_format(names, lambda n: line_of(n).inner))
-
-    def ready(name: str):
-        return line_of(name, F.col("_inner") if registry.get(name).inner else None)
-
-    parsed = F.coalesce(_per_format(names, lambda n: registry.get(n).parsed(ready(n))), F.lit(False))
-    columns = {name: registry.get(name).columns(ready(name)) for name in names}
+    def line(name: str) -> Line:
+        return Line(formats[name], raw, **stored[name])
+
+    def store(frame: DataFrame, piece: str, made: dict[str, Column], kind: str, step: int = 0) -> DataFrame:
+        """Compute one piece for the formats that have it and let later steps refer to the column."""
+        column = f"_{piece}_{step}"
+        for name in made:
+            stored[name][piece] = F.col(column)
+        none = F.lit(None).cast(kind)
+        return frame.withColumn(column, _per_format(names, lambda n: made.get(n, none)))
+
+    if any(f.trims for f in formats.values()):
+        staged = store(staged, "text", {n: f.text_of(raw) for n, f in formats.items()}, "string")
+    if any(f.shapes for f in formats.values()):
+        made = {n: f.groups_of(line(n).text) for n, f in formats.items() if f.shapes}
+        staged = store(staged, "groups", made, "array<string>")
+    if any(f.openers for f in formats.values()):
+        made = {n: f.doc_of(line(n).text) for n, f in formats.items() if f.openers}
+        staged = store(staged, "doc", made, "variant")
+    if any(f.cells for f in formats.values()):
+        made = {n: f.cells_of(line(n)) for n, f in formats.items() if f.cells}
+        staged = store(staged, "cells", made, "array<variant>")
+    for step in range(max(len(f.steps) for f in formats.values())):
+        words = {n: f.words_of(line(n), step) for n, f in formats.items()}
+        for word in sorted({w for made in words.values() for w in made}):
+            made = {n: found[word] for n, found in words.items() if word in found}
+            staged = store(staged, f"word_{word}", made, "string", step)
+    ready = {name: line(name) for name in names}
+    columns = {name: formats[name].columns(ready[name]) for name in names}
 
     def field(key: str, default: Column | None = None) -> Column:
         return F.when(F.col("parsed"), _per_format(names, lambda n: columns[n][key])).otherwise(default)
 
+    parsed = F.coalesce(_per_format(names, lambda n: formats[n].parsed(ready[n])), F.lit(False))
     staged = staged.withColumn("parsed", parsed & ~is_blank(raw)).withColumn("level", field("level", F.lit("INFO")))
-    pieces = [c for c in ("_groups", "_doc", "_inner") if c in staged.columns]
+    pieces = [c for c in staged.columns if c.startswith("_")]
     staged = settle(staged, *pieces, "parsed", "level")
-    candidates = max(len(f.stamps(ready(f.name))) if f.stamps else 0 for f in formats)
+    candidates = max(f.stamp_count(ready[n]) for n, f in formats.items())
     if candidates:
-        staged = staged.withColumn("_stamps", _per_format(names, lambda n: registry.get(n).stamps_of(ready(n))))
+        staged = staged.withColumn("_stamps", _per_format(names, lambda n: formats[n].stamps_of(ready[n])))
         staged = staged.withColumn("_stamp", pick_stamp(F.col("_stamps"), candidates))
     else:
         staged = staged.withColumn("_stamp", F.lit(None).cast("string"))
