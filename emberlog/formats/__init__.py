@@ -65,7 +65,7 @@ def register_format(
     """Add a format made of column expressions over the column ``raw``.
 
     ``fields`` needs ``level`` and ``message``; it may add ``source``, ``status``, ``metadata`` and ``stamp``,
-    a timestamp text that ends in an offset such as ``+00:00``.
+    a timestamp text that ends in an offset such as ``+00:00``, or ``@`` and epoch microseconds.
     The format takes part in detection and parsing like a built-in one.
     """
     def found(line: Line) -> dict[str, Column]:
@@ -91,7 +91,7 @@ def fields(name: str, raw: Column, registry: FormatRegistry = DEFAULT_REGISTRY)
     """The entry fields of a line read as this format, as plain expressions of the line."""
     fmt = registry.get(name)
     line = Line(fmt, raw)
-    stamp = pick_stamp(fmt.stamps_of(line), max(1, fmt.stamp_count(line)))
+    stamp = pick_stamp(fmt.stamps_of(line))
     return {
         "event_ts": stamp_instant(stamp),
         "event_ts_local": stamp_wall_clock(stamp),

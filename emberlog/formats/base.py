@@ -17,7 +17,7 @@ class Line:
     """The pieces of one line that a format's expressions refer to.
 
     ``raw`` the line, ``text`` the line as the format looks at it, ``groups`` captured groups, ``doc`` the
-    line as VARIANT, ``cells`` an array of VARIANT values, and named words: texts that several fields use.
+    line as VARIANT, ``cells`` some VARIANT values in it, and named words: texts that several fields use.
     A piece is either a stored column of an earlier step or the expression itself.
     """
 
@@ -28,7 +28,7 @@ class Line:
         self.groups = pieces.get("groups", fmt.groups_of(self.text))
         self.doc = pieces.get("doc", fmt.doc_of(self.text))
         self._words: dict[str, Column] = {}
-        self.cells = pieces.get("cells", fmt.cells_of(self))
+        self._cells = [pieces.get(f"cell_{i}", cell) for i, cell in enumerate(fmt.cells_of(self))]
         for step in fmt.steps:
             self._words.update({name: pieces.get(f"word_{name}", word) for name, word in step(self).items()})
 
@@ -58,7 +58,7 @@ class Line:
         return F.nullif(self.group(name), F.lit(""))
 
     def cell(self, position: int) -> Column:
-        return F.get(self.cells, F.lit(position))
+        return self._cells[position]
 
     def word(self, name: str) -> Column:
         return self._words[name]
@@ -102,8 +102,8 @@ class LogFormat:
     def doc_of(self, text: Column) -> Column:
         return parse_object(text, self.openers) if self.openers else F.lit(None).cast("variant")
 
-    def cells_of(self, line: Line) -> Column:
-        return F.array(*self.cells(line)) if self.cells else F.lit(None).cast("array<variant>")
+    def cells_of(self, line: Line) -> list[Column]:
+        return self.cells(line) if self.cells else []
 
     def words_of(self, line: Line, step: int) -> dict[str, Column]:
         return self.steps[step](line) if step < len(self.steps) else {}
@@ -127,20 +127,17 @@ class LogFormat:
             "metadata": found.get("metadata", F.create_map().cast("map<string,string>")),
         }
 
-    def stamps_of(self, line: Line) -> Column:
-        found = self.stamps(line) if self.stamps else []
-        return F.array(*[stamp.cast("string") for stamp in found]).cast("array<string>")
+    def stamps_of(self, line: Line) -> list[Column]:
+        return [stamp.cast("string") for stamp in self.stamps(line)] if self.stamps else []
 
-    def stamp_count(self, line: Line) -> int:
-        return len(self.stamps(line)) if self.stamps else 0
 
-
-def pick_stamp(stamps: Column, count: int) -> Column:
+def pick_stamp(stamps: list[Column]) -> Column:
     """First candidate that is a real timestamp."""
-    if count == 1:
-        return F.get(stamps, F.lit(0))
-    spots = [F.get(stamps, F.lit(i)) for i in range(count)]
-    return F.coalesce(*[F.when(stamp_instant(spot).isNotNull(), spot) for spot in spots])
+    if not stamps:
+        return F.lit(None).cast("string")
+    if len(stamps) == 1:
+        return stamps[0]
+    return F.coalesce(*[F.when(stamp_instant(stamp).isNotNull(), stamp) for stamp in stamps])
 
 
 def text_map(**values: Column | str) -> Column:

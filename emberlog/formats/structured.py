@@ -23,43 +23,44 @@ _ZULU = rf"^{_DATE}T{_CLOCK}(?:\.\d{{1,6}})?Z$"
 _SHIFTED = rf"^{_DATE}T{_CLOCK}[+-]\d{{2}}:?\d{{2}}$"
 _PLAIN = rf"^{_DATE}\s+{_CLOCK}(?:\.\d{{1,6}})?$"
 _LENIENT = rf"^{_DATE}T{_CLOCK}(?:\.\d+)?$"
-_NUMBER = r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"
 
 
-def _json_stamp(value: Column, text: Column, lenient: bool) -> Column:
-    """Stamp text of one value: a known date layout, or a number of epoch seconds."""
+def _json_stamp(text: Column, lenient: bool) -> Column:
+    """Stamp text of one candidate: a known date layout, or ``#`` and a number of epoch seconds."""
     plain = rf"{_PLAIN}|{_LENIENT}" if lenient else _PLAIN
-    seconds = text.try_cast("double")
-    number = text.rlike(_NUMBER) & ~is_string(value) & (F.abs(seconds) < 253402300800)
+    seconds = F.substring(text, 2, 40).try_cast("double")
+    in_range = text.startswith("#") & (F.abs(seconds) < 253402300800)
     return (
         F.when(text.rlike(_ZULU), stamp_text(F.rtrim(text, F.lit("Z"))))
+        .when(in_range, epoch_stamp(F.floor(seconds * 1_000_000 + 0.5)))
         .when(text.rlike(plain), stamp_text(F.regexp_replace(text, r"\s+", " ")))
         .when(text.rlike(_SHIFTED), F.regexp_replace(text, r"([+-]\d{2}):?(\d{2})$", "$1:$2"))
-        .when(number, epoch_stamp(F.round(seconds * 1_000_000).cast("bigint")))
     )
 
 
-_KEYED = (LEVEL_KEYS, MESSAGE_KEYS, SOURCE_KEYS, ["status"])
-
-
-def _json_cells(line: Line):
-    """First present value of each field, then every timestamp candidate."""
-    stamps = [member(line.doc, key) for key in TIMESTAMP_KEYS]
-    return [first_present(line.doc, keys) for keys in _KEYED] + stamps
+def _marked_number(doc: Column, key: str) -> Column:
+    """Text under a key as it is; any other value behind a ``#``."""
+    value = member(doc, key)
+    return F.when(is_string(value), text_of(value)).otherwise(F.concat(F.lit("#"), text_of(value)))
 
 
 def _json_words(line: Line):
     word = F.upper(printed(line.cell(0)))
-    stamps = {f"stamp{i}": text_of(line.cell(len(_KEYED) + i)) for i in range(len(TIMESTAMP_KEYS))}
-    return {"level": F.coalesce(F.nullif(word, F.lit("")), F.lit("INFO")), **stamps}
+    return {
+        "level": F.coalesce(F.nullif(word, F.lit("")), F.lit("INFO")),
+        "message": F.coalesce(printed(line.cell(1)), F.lit("")),
+        "source": printed(line.cell(2)),
+        "status": truthy_text(line.cell(3)),
+        **{f"stamp_{key}": _marked_number(line.doc, key) for key in TIMESTAMP_KEYS},
+    }
 
 
 def _json_fields(line: Line):
     return {
         "level": map_level(line.word("level"), "json"),
-        "message": F.coalesce(printed(line.cell(1)), F.lit("")),
-        "source": printed(line.cell(2)),
-        "status": truthy_text(line.cell(3)),
+        "message": line.word("message"),
+        "source": line.word("source"),
+        "status": line.word("status"),
         "metadata": F.try_variant_get(line.doc, "$", "map<string,string>"),
     }
 
@@ -70,13 +71,11 @@ def json_format(lenient_ts: bool = False) -> LogFormat:
         name="json",
         description="JSON structured logging with common key names",
         openers="{",
-        cells=_json_cells,
+        cells=lambda x: [first_present(x.doc, keys) for keys in (LEVEL_KEYS, MESSAGE_KEYS, SOURCE_KEYS, ["status"])],
         steps=(_json_words,),
         parsed=lambda x: x.doc.isNotNull(),
         fields=_json_fields,
-        stamps=lambda x: [
-            _json_stamp(x.cell(len(_KEYED) + i), x.word(f"stamp{i}"), lenient_ts) for i in range(len(TIMESTAMP_KEYS))
-        ],
+        stamps=lambda x: [_json_stamp(x.word(f"stamp_{key}"), lenient_ts) for key in TIMESTAMP_KEYS],
     )
 
 

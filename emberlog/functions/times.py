@@ -30,12 +30,23 @@ def stamp_text(iso: Column, offset: Column | str = "+00:00") -> Column:
     return F.concat(iso, F.lit(offset) if isinstance(offset, str) else offset)
 
 
+def epoch_stamp(micros: Column) -> Column:
+    """Stamp text of microseconds since the epoch: ``@`` and the number."""
+    return F.concat(F.lit("@"), micros.cast("string"))
+
+
+def _epoch_micros(stamp: Column) -> Column:
+    return F.substring(stamp, 2, 20).try_cast("bigint")
+
+
 def stamp_instant(stamp: Column) -> Column:
-    return stamp.try_cast("timestamp")
+    return F.when(stamp.startswith("@"), F.timestamp_micros(_epoch_micros(stamp))).otherwise(stamp.try_cast("timestamp"))
 
 
 def stamp_wall_clock(stamp: Column) -> Column:
-    return F.left(stamp, F.length(stamp) - 6).try_cast("timestamp_ntz")
+    """The clock as written; for an epoch number the UTC clock."""
+    written = F.left(stamp, F.length(stamp) - 6).try_cast("timestamp_ntz")
+    return F.when(stamp.startswith("@"), ntz_from_micros(_epoch_micros(stamp))).otherwise(written)
 
 
 def cloud_stamp(text: Column) -> Column:
@@ -54,11 +65,6 @@ def cloud_stamp(text: Column) -> Column:
     )
 
 
-def epoch_stamp(micros: Column) -> Column:
-    """Stamp text of microseconds since the epoch, in UTC."""
-    return stamp_text(ntz_from_micros(micros).cast("string"))
-
-
 def offset_text(zone: Column) -> Column:
     """``+0100``, ``+01:00`` or ``Z`` -> ``+01:00``; an empty text means UTC."""
     return F.when(zone.isin("", "Z"), F.lit("+00:00")).otherwise(

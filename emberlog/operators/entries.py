@@ -67,9 +67,10 @@ def parse_marked(lines: DataFrame, names: list[str], registry: FormatRegistry =
     if any(f.openers for f in formats.values()):
         made = {n: f.doc_of(line(n).text) for n, f in formats.items() if f.openers}
         staged = store(staged, "doc", made, "variant")
-    if any(f.cells for f in formats.values()):
-        made = {n: f.cells_of(line(n)) for n, f in formats.items() if f.cells}
-        staged = store(staged, "cells", made, "array<variant>")
+    cells = {n: f.cells_of(line(n)) for n, f in formats.items()}
+    for i in range(max(len(found) for found in cells.values())):
+        made = {n: found[i] for n, found in cells.items() if i < len(found)}
+        staged = store(staged, f"cell_{i}", made, "variant")
     for step in range(max(len(f.steps) for f in formats.values())):
         words = {n: f.words_of(line(n), step) for n, f in formats.items()}
         for word in sorted({w for made in words.values() for w in made}):
@@ -83,14 +84,13 @@ def parse_marked(lines: DataFrame, names: list[str], registry: FormatRegistry =
 
     parsed = F.coalesce(_per_format(names, lambda n: formats[n].parsed(ready[n])), F.lit(False))
     staged = staged.withColumn("parsed", parsed & ~is_blank(raw)).withColumn("level", field("level", F.lit("INFO")))
-    pieces = [c for c in staged.columns if c.startswith("_")]
-    staged = settle(staged, *pieces, "parsed", "level")
-    candidates = max(f.stamp_count(ready[n]) for n, f in formats.items())
-    if candidates:
-        staged = staged.withColumn("_stamps", _per_format(names, lambda n: formats[n].stamps_of(ready[n])))
-        staged = staged.withColumn("_stamp", pick_stamp(F.col("_stamps"), candidates))
-    else:
-        staged = staged.withColumn("_stamp", F.lit(None).cast("string"))
+    staged = settle(staged, "parsed", "level")
+    stamps = {n: f.stamps_of(ready[n]) for n, f in formats.items()}
+    candidates = max(len(found) for found in stamps.values())
+    for i in range(candidates):
+        made = {n: found[i] for n, found in stamps.items() if i < len(found)}
+        staged = store(staged, f"stamp_{i}", made, "string")
+    staged = staged.withColumn("_stamp", pick_stamp([F.col(f"_stamp_{i}_0") for i in range(candidates)]))
     ok, stamp = F.col("parsed"), F.col("_stamp")
     fields = {
         "event_ts": F.when(ok, stamp_instant(stamp)),

@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings that suit the parsing plans.
+
+    The JVM does not compile methods above 8000 bytes of code; with this limit Spark splits the long
+    expressions of a parsing stage into methods that it does compile.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
