@@ -34,8 +34,14 @@ LOG = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input of fewer splits than cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     kind, user = F.col("event_type"), F.col("user_id")
     status = (
         F.when(kind == "view", 200)
@@ -293,7 +299,7 @@ def mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as LINES, one source per document."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     placed = documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
     return placed.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_path"),
