@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.runtime import settle
+
 from .registry import table
 
 # The same columns as in events_frame(), for the SQL twins.
@@ -250,12 +252,13 @@ def rendered(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
 
 
 def as_lines(events: DataFrame, raw: Column, source: Column | None = None) -> DataFrame:
-    return events.select(
+    lines = events.select(
         (F.col("source_path") if source is None else source).alias("source_path"),
         F.lit(0).cast("bigint").alias("block_start"),
         F.col("event_id").alias("line_id"),
         raw.alias("raw"),
     )
+    return settle(lines, "raw")
 
 
 def access_raw() -> Column:
