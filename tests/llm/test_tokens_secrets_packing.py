@@ -145,7 +145,7 @@ SECRET_TEXTS = [
 
 @pytest.mark.parametrize("clash", [False, True])
 def test_secrets_against_brute_force(spark, clash):
-    texts = SECRET_TEXTS + odd_texts() + ["日本 " * 50 + SECRET_TEXTS[1]]
+    texts = SECRET_TEXTS + [t for t in odd_texts() if len(t or "") < 10_000] + ["日本 " * 50 + SECRET_TEXTS[1]]
     rows = secrets.digest(secrets.scan_secrets(frame(spark, list(enumerate(texts)), clash))).collect()
     assert len(rows) == len(texts)
     for r in rows:
