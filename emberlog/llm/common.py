@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +17,23 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 8 << 20
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python finds it already (PYTHONPATH or working folder)."""
+    root = Path(__file__).resolve().parents[2]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    context = spark.sparkContext
+    if str(root) in [os.path.realpath(p) for p in known if p] or getattr(context, "_corpus_code_sent", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="emberlog-code-")) / "emberlog.zip"  # the driver's file server sends it out
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "emberlog").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
+    context._corpus_code_sent = True
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
