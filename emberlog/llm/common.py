@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.runtime import broadcast_if_small
+
 SLICE_BYTES = 8 << 20
 
 
@@ -54,6 +56,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return numbered.select(*[F.col(f"_c{place(columns, n)}").alias(n) for n in names])
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``gone``; column names may clash."""
+    numbered = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    key = F.col(f"_c{place(docs.columns, id_col)}")
+    side = broadcast_if_small(gone.toDF("_gone"), 1_000_000)
+    return numbered.join(side, key.eqNullSafe(F.col("_gone")), "left_anti").toDF(*docs.columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each slice hold about ``limit`` bytes; a long text stands alone."""
     for batch in batches:

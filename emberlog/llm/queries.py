@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, packing, quality, secrets, token_counts
+from . import fingerprints, language, ngram_join, packing, quality, secrets, token_counts
 from .common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_documents(spark, sf_dir))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -45,6 +49,7 @@ QUERIES: dict[str, Query] = {
         op6_packing,
         op7_fingerprints,
         op8_quality,
+        op9_ngram_join,
     )
 }
 #: DuckDB twins, where SQL can express the operator on whole tables.
