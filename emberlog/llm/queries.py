@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, ngram_join, packing, quality, secrets, token_counts
+from . import fingerprints, language, line_dedup, ngram_join, packing, quality, secrets, token_counts
 from .common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(read_documents(spark, sf_dir))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
         op7_fingerprints,
         op8_quality,
         op9_ngram_join,
+        op10_line_dedup,
     )
 }
 #: DuckDB twins, where SQL can express the operator on whole tables.
