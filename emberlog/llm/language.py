@@ -256,4 +256,5 @@ def keep_known(docs: DataFrame, least_score: float = 0.5, sample_per_lang: int =
             got = [shared.value.predict(t) for t in part.column(text_at).to_pylist()]
             yield part.filter(pa.array([lang != UNKNOWN and p >= least_score for lang, p in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
