@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, line_dedup, mixing, ngram_join, packing, quality, secrets, token_counts
+from . import fingerprints, language, line_dedup, mixing, ngram_join, packing, quality, secrets, suffix_dedup, token_counts
 from .common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(read_documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_language,
         op2_token_counts,
+        op3_suffix_dedup,
         op4_mixing,
         op5_secrets,
         op6_packing,
