@@ -209,6 +209,18 @@ def attach_format(spark, sf_dir):
     return ops.attach_format(lines, formats).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "attach_format_unlisted",
+    f"""WITH {EV} SELECT source_path, CASE source_path WHEN 'app-0' THEN 'apache_access' ELSE 'universal' END AS format,
+  count(*) AS n FROM ev GROUP BY ALL""",
+)
+def attach_format_unlisted(spark, sf_dir):
+    """Lines of sources without a row in the format table stay, in the fallback format."""
+    formats = spark.createDataFrame([("app-0", "apache_access")], "source_path string, format string")
+    entries = ops.parse_entries(mixed_log(spark, sf_dir), formats)
+    return entries.groupBy("source_path", "format").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("drop_blank", f"WITH {LOG} SELECT source_path, count(*) AS n FROM log WHERE outcome <> 'blank' GROUP BY ALL")
 def drop_blank(spark, sf_dir):
     return counts.count_lines(ops.drop_blank(access_log(spark, sf_dir)))
@@ -588,6 +600,16 @@ def analyze_samples(spark, sf_dir):
     return listed("errors").unionByName(listed("warnings"))
 
 
+@query(
+    "regex_filter_named_group",
+    r"""WITH l AS (SELECT 'doc-' || doc_id AS source_path, unnest(string_split(text, chr(10))) AS raw FROM documents)
+SELECT source_path, count(*) AS n FROM l WHERE regexp_matches(raw, '(?P<word>[A-Z]{4})!!') GROUP BY ALL""",
+)
+def regex_filter_named_group(spark, sf_dir):
+    """A pattern in Python's spelling."""
+    return counts.count_lines(ops.regex_filter(document_lines(spark, sf_dir), r"(?P<the_word>[A-Z]{4})!!"))
+
+
 @query(
     "analyze_mixed",
     f"""WITH {EV} SELECT source_path, CASE source_path WHEN 'app-0' THEN 'apache_access' WHEN 'app-1' THEN 'json'
@@ -618,15 +640,23 @@ def analyze_files(spark, sf_dir):
 
 @query(
     "merge_summaries",
-    f"""WITH {LOG} SELECT source_path, count(*) AS total_lines, count(*) FILTER (outcome = 'parsed') AS parsed_lines,
+    f"""WITH {LOG}, p AS (SELECT * FROM log WHERE outcome = 'parsed'),
+c AS (SELECT source_path, count(*) AS total_lines, count(*) FILTER (outcome = 'parsed') AS parsed_lines,
   count(*) FILTER (outcome = 'parsed' AND level = 'ERROR') AS errors, min(sec) FILTER (outcome = 'parsed') AS earliest,
-  max(sec) FILTER (outcome = 'parsed') AS latest FROM log GROUP BY ALL""",
+  max(sec) FILTER (outcome = 'parsed') AS latest FROM log GROUP BY ALL),
+s AS (SELECT source_path, list(ip || '=' || n ORDER BY n DESC, part, seen)[:10] AS top_sources FROM (
+  SELECT source_path, ip, count(*) AS n, min(h) AS part, min(event_id) FILTER (h = first_h) AS seen FROM (
+    SELECT *, (event_id // 64) % 2 AS h, min((event_id // 64) % 2) OVER (PARTITION BY source_path, ip) AS first_h FROM p)
+  GROUP BY ALL) GROUP BY ALL),
+e AS (SELECT source_path, list(event_id ORDER BY (event_id // 64) % 2, event_id)[:50] AS samples FROM p WHERE level = 'ERROR' GROUP BY ALL)
+SELECT c.*, array_to_string(top_sources, ',') AS top_sources, coalesce(array_to_string(samples, ','), '') AS samples
+FROM c LEFT JOIN s USING (source_path) LEFT JOIN e USING (source_path)""",
 )
 def merge_summaries(spark, sf_dir):
-    """Two half-day runs merged into one."""
+    """Two runs over alternate blocks of lines merged into one: counters, rankings and samples."""
     lines = access_log(spark, sf_dir)
     early = F.pmod(F.floor(F.col("line_id") / 64), F.lit(2)) == 0
-    parts = [plans.summarize(lines.where(early), fmt="apache_access"), plans.summarize(lines.where(~early), fmt="apache_access")]
+    parts = [plans.summary_parts(lines.where(cut), fmt="apache_access") for cut in (early, ~early)]
     merged = plans.merge_summaries(parts)
     return merged.select(
         "source_path",
@@ -635,6 +665,8 @@ def merge_summaries(spark, sf_dir):
         F.coalesce(F.col("level_counts")["ERROR"], F.lit(0)).alias("errors"),
         utc_wall_clock(F.col("earliest_ts")).alias("earliest"),
         utc_wall_clock(F.col("latest_ts")).alias("latest"),
+        F.array_join(F.transform("top_sources", lambda x: F.concat(x["source"], F.lit("="), x["count"])), ",").alias("top_sources"),
+        F.array_join(F.transform("errors", lambda x: x["line_id"].cast("string")), ",").alias("samples"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlog.plans.summary import merge_tallies
@@ -9,7 +10,7 @@ from emberlog.runtime import scratch_path
 from emberlog.streaming import live
 
 from .registry import query
-from .render import LOG, access_raw, events_frame
+from .render import EV, LOG, access_raw, events_frame, mixed_log
 
 _P = "(SELECT * FROM log WHERE outcome = 'parsed')"
 
@@ -127,5 +128,77 @@ def stream_summary(spark, sf_dir):
 @query("progress_metrics", "SELECT count(*) AS input_rows FROM events")
 def progress_metrics(spark, sf_dir):
     """Rows read by a tail over the access log, summed over its micro-batches."""
-    _, running = _append(live.stream_lines(spark, _landed(spark, sf_dir), None))
-    return live.progress_metrics(running).agg(F.sum("input_rows").alias("input_rows"))
+    log = live.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        _, running = _append(live.stream_lines(spark, _landed(spark, sf_dir), None))
+        return log.metrics(running).agg(F.sum("input_rows").alias("input_rows"))
+    finally:
+        spark.streams.removeListener(log)
+
+
+def _mixed_landing(spark, sf_dir: str) -> str:
+    """Four folders of one format each, as text files."""
+    path = scratch_path(spark, "mixed")
+    lines = mixed_log(spark, sf_dir).select("source_path", F.col("raw").alias("value"))
+    lines.repartition("source_path").write.partitionBy("source_path").text(path)
+    return path
+
+
+def _source() -> Column:
+    return F.regexp_extract("source_path", "source_path=([^/]+)/", 1)
+
+
+@query(
+    "replay_batches",
+    f"""WITH {EV}, r AS (SELECT source_path, row_number() OVER (PARTITION BY source_path) AS k, count(*) OVER (PARTITION BY source_path) AS n FROM ev)
+SELECT source_path, count(*) AS n, min(k - 1) AS first_line, max(k - 1) AS last_line, true AS parsed FROM r WHERE k > 10 GROUP BY ALL""",
+)
+def replay_batches(spark, sf_dir):
+    """Mixed formats detected as files land, each file from its eleventh line on."""
+    out = scratch_path(spark, "replayed")
+
+    def sink(rows, batch_id):
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    path = _mixed_landing(spark, sf_dir)
+    live.replay_batches(spark, f"{path}/*", sink, scratch_path(spark, "offsets"), 2, start_line=10).awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.groupBy(_source().alias("source_path")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("line_no").alias("first_line"),
+        F.max("line_no").alias("last_line"),
+        F.bool_and("parsed").alias("parsed"),
+    )
+
+
+@query(
+    "stream_summary_mixed",
+    f"WITH {EV} SELECT source_path, 'parsed' AS key, count(*) AS n FROM ev GROUP BY ALL",
+)
+def stream_summary_mixed(spark, sf_dir):
+    """Tallies of mixed formats per micro-batch, folded once on the way."""
+    path, out, folded = _mixed_landing(spark, sf_dir), scratch_path(spark, "tallies"), scratch_path(spark, "folded")
+    live.tally_batches(live.stream_raw(spark, f"{path}/*", 1), None, out, scratch_path(spark, "offsets")).awaitTermination()
+    live.compact_tallies(spark, out, folded)
+    rows = live.merged_tallies(spark, out, folded).where(F.col("kind") == "line")
+    return rows.groupBy(_source().alias("source_path"), "key").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "tail_batches",
+    f"""WITH {LOG}, r AS (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS k FROM log)
+SELECT count(*) AS n FROM r WHERE k <= 50 AND outcome <> 'blank'""",
+)
+def tail_batches(spark, sf_dir):
+    """The last fifty lines of one landed file, blank ones left out."""
+    landing, out = scratch_path(spark, "landing"), scratch_path(spark, "tail")
+    events_frame(spark, sf_dir).select(F.col("event_id"), access_raw().alias("value")).repartitionByRange(1, "event_id").sortWithinPartitions(
+        "event_id"
+    ).select("value").write.text(landing)
+
+    def sink(rows, batch_id):
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    live.tail_batches(spark, landing, sink, scratch_path(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"))

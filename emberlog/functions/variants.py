@@ -8,14 +8,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: stands after the text in a list of two, and shows where the reader stopped.
+_END = "\u241e end of the value \u241e"
+
+
 def parse_json(text: Column) -> Column:
     """JSON text -> VARIANT, null when it is not exactly one JSON value.
 
-    The variant reader stops after the first value and ignores what follows; counting the elements of the
-    text inside brackets finds trailing text.
+    The variant reader stops after the first value and ignores what follows. The text is therefore read once as
+    the first element of a list whose second element is a fixed end mark: after one whole value the mark must come
+    second, whatever closing brackets the text has left over.
     """
-    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    return F.when(single, F.try_parse_json(text))
+    read = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    ended = lambda v: F.coalesce(F.try_variant_get(v, "$[1]", "string") == _END, F.lit(False))
+    value = lambda v: F.when(ended(v), F.try_variant_get(v, "$[0]", "variant"))
+    return F.element_at(F.transform(F.array(read), value), 1)
 
 
 def parse_object(text: Column, openers: str = "{") -> Column:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +15,27 @@ from ..formats.base import Line, pick_stamp
 from ..functions.levels import level_rank
 from ..functions.text import is_blank
 from ..functions.times import stamp_instant, stamp_wall_clock
-from ..runtime import broadcast_if_small, materialize, settle
-from ..schema import ENTRIES, ENTRY_FIELDS, LEVELS
+from ..runtime import broadcast_if_small, lookup_join, materialize, settle
+from ..schema import ENTRIES, ENTRY_FIELDS, FALLBACK_FORMAT, LEVELS
 
 
 def drop_blank(df: DataFrame) -> DataFrame:
     return df.where(~is_blank(F.col("raw")))
 
 
-def attach_format(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """Give every line the format of its source. One row per source on the right side."""
-    return lines.join(broadcast_if_small(formats.select("source_path", "format")), "source_path")
+def attach_format(lines: DataFrame, formats: DataFrame, fallback: str = FALLBACK_FORMAT) -> DataFrame:
+    """Give every line the format of its source; lines of a source that is not listed get ``fallback``.
+
+    ``formats`` holds one row per source. Spellings of the same local path (``file:/``, ``file:///``) are equal.
+    """
+    side = formats.select(_path_key("source_path").alias("_source"), F.col("format").alias("_found"))
+    salt = F.xxhash64("raw") if "line_id" not in lines.columns else F.col("line_id")
+    joined = lookup_join(lines.withColumn("_source", _path_key("source_path")), side, "_source", "left", salt)
+    return joined.withColumn("format", F.coalesce("_found", F.lit(fallback))).drop("_source", "_found")
+
+
+def _path_key(name: str) -> Column:
+    return F.regexp_replace(F.col(name), "^file:/+", "file:/")
 
 
 def _per_format(names: list[str], make: Callable[[str], Column]) -> Column:
@@ -124,7 +135,7 @@ def parse_entries(
         entries = parse_marked(content.withColumn("format", F.lit(fmt)), [fmt], registry)
     else:
         if names is None:
-            names = formats_in_use(formats)
+            names = sorted({*formats_in_use(formats), FALLBACK_FORMAT})
         entries = parse_marked(attach_format(content, formats), names, registry)
     return entries if keep_failed else entries.where("parsed")
 
@@ -148,16 +159,67 @@ def min_level(entries: DataFrame, level: str = "ERROR", limit: int = 20) -> Data
     return hits.orderBy("source_path", "line_id").limit(limit)
 
 
+def _java_pattern(pattern: str) -> str:
+    """A Python pattern in Java's spelling: named groups, references to them, and the end anchor."""
+    names: dict[str, str] = {}
+
+    def name(found: re.Match) -> str:
+        return names.setdefault(found, f"g{len(names) + 1}")
+
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        rest = pattern[i:]
+        group = re.match(r"\(\?P<(\w+)>", rest)
+        reference = re.match(r"\(\?P=(\w+)\)", rest)
+        if pattern[i] == "\\" and i + 1 < len(pattern):
+            out.append("\\z" if pattern[i + 1] == "Z" and not in_class else pattern[i : i + 2])
+            i += 2
+        elif not in_class and group:
+            out.append(f"(?<{name(group[1])}>")
+            i += group.end()
+        elif not in_class and reference:
+            out.append(f"\\k<{name(reference[1])}>")
+            i += reference.end()
+        else:
+            if in_class and pattern[i] in "[&":  # plain characters in a Python class, operators in a Java one
+                out.append("\\")
+            elif pattern[i] == "[":
+                in_class = True
+                if rest.startswith(("[]", "[^]")):  # a bracket that comes first stands for itself
+                    lead = rest[: rest.index("]")]
+                    out.append(lead + "\\]")
+                    i += len(lead) + 1
+                    continue
+            elif pattern[i] == "]":
+                in_class = False
+            out.append(pattern[i])
+            i += 1
+    return "".join(out)
+
+
 def regex_filter(df: DataFrame, pattern: str | None, column: str = "raw") -> DataFrame:
-    """Keep lines in which the pattern is found; an empty or broken pattern keeps all."""
+    """Keep lines in which the Python pattern is found; an empty pattern, or one Python rejects, keeps all.
+
+    Patterns are respelled for Java. One that Java still rejects (a conditional group, say) is matched by Python
+    over Arrow batches.
+    """
     if not pattern:
         return df
     try:
-        re.compile(pattern)
-        df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception:
+        compiled = re.compile(pattern)
+    except re.error:
         return df
-    return df.where(F.col(column).rlike(pattern))
+    java = _java_pattern(pattern)
+    try:
+        df.sparkSession.range(1).select(F.lit("").rlike(java)).collect()
+    except PySparkException:
+
+        @F.pandas_udf("boolean")
+        def found(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: t is not None and compiled.search(t) is not None)
+
+        return df.where(found(F.col(column)))
+    return df.where(F.col(column).rlike(java))
 
 
 def level_in(entries: DataFrame, levels: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ shuffle. The result, one row per distinct key, is stored once; rankings and tota
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,95 +61,87 @@ def tally(marked: DataFrame, names: list[str], registry: FormatRegistry = DEFAUL
 
 
 def merge_tallies(parts: list[DataFrame]) -> DataFrame:
-    """Add up tallies of the same kind of rows, for example one per day."""
+    """Add up tallies of the same kind of rows, for example one per day.
+
+    ``first_line`` is the least line id of all parts, so it orders keys when the parts share one numbering. For
+    parts that number their lines on their own, give them a column ``part``: the first key of the least part wins.
+    """
     together = reduce(DataFrame.unionByName, parts)
-    return together.groupBy("source_path", "kind", "key").agg(
+    place = F.struct("part", "first_line") if "part" in together.columns else F.struct("first_line")
+    merged = together.groupBy("source_path", "kind", "key").agg(
         F.sum("n").alias("n"),
-        F.min("first_line").alias("first_line"),
+        F.min(place).alias("_first"),
         F.min("earliest_ts").alias("earliest_ts"),
         F.max("latest_ts").alias("latest_ts"),
     )
+    rest = [c for c in merged.columns if c != "_first"]
+    return merged.select(*rest[:4], "_first.*", *rest[4:])
 
 
-def merge_summaries(parts: list[DataFrame]) -> DataFrame:
-    """Combine SUMMARY frames of the same sources: counters add up, ranges widen.
+@dataclass(frozen=True)
+class SummaryParts:
+    """What a summary is made of, in a form that adds up without loss.
 
-    Exact for counts, levels, status codes, rates and ranges. Rankings add the counts both sides kept and
-    keep ten again, samples keep the first of the first part on; merge tallies for exact rankings.
+    ``tallies``: one row per distinct key; ``formats``: one row per source; ``samples``: the first ``k`` errors and
+    warnings of each source as rows. All three are bounded by keys, sources and ``k``; store them as tables.
     """
-    numbered = [part.withColumn("_part", F.lit(i)) for i, part in enumerate(parts)]
-    union = reduce(DataFrame.unionByName, numbered).select("source_path", "_part", *_long_form_columns())
-    long = union.select("source_path", "_part", F.explode("rows").alias("r")).select("source_path", "_part", "r.*")
-    tallies = long.groupBy("source_path", "kind", "key").agg(
-        F.sum("n").alias("n"),
-        F.min(F.col("_part") * 1_000_000 + F.col("place")).alias("first_line"),
-        F.min("earliest_ts").alias("earliest_ts"),
-        F.max("latest_ts").alias("latest_ts"),
-    )
-    formats = union.groupBy("source_path").agg(F.min_by("detected_format", "_part").alias("format"))
-    samples = union.select(
-        "source_path",
-        "_part",
-        F.explode(F.concat(_tagged("errors", "error"), _tagged("warnings", "warning"))).alias("s"),
-    ).select("source_path", "s.kind", F.struct("_part", "s.position").alias("_at"), "s.entry", F.col("s.size").alias("_k"))
-    ordered = samples.groupBy("source_path", "kind").agg(
-        F.array_sort(F.collect_list(F.struct("_at", "entry"))).alias("all"), F.max("_k").alias("_k")
-    )
-    kept = ordered.select(
-        "source_path", "kind", F.slice(F.transform("all", lambda x: x["entry"]), F.lit(1), F.col("_k")).alias("entries")
-    )
-    return _assemble(tallies, formats, kept)
 
+    tallies: DataFrame
+    formats: DataFrame
+    samples: DataFrame
+    k: int
+    parts: int = 1
 
-def _tagged(column: str, kind: str) -> Column:
-    sized = F.size(column)
-    return F.transform(
-        F.col(column),
-        lambda e, i: F.struct(
-            F.lit(kind).alias("kind"), i.cast("int").alias("position"), e.alias("entry"), sized.alias("size")
-        ),
-    )
 
+def merge_parts(pieces: list[SummaryParts]) -> SummaryParts:
+    """Combine parts in the given order: exact counts and rankings, and the first ``k`` samples over all parts.
 
-def _long_form_columns() -> list[Column]:
-    def row(kind, key, n, place, first=None, last=None):
-        none = F.lit(None).cast("timestamp")
-        return F.struct(
-            F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"),
-            key.cast("string").alias("key"),
-            n.cast("bigint").alias("n"),
-            place.cast("bigint").alias("place"),
-            (none if first is None else first).alias("earliest_ts"),
-            (none if last is None else last).alias("latest_ts"),
-        )
+    ``k`` is the largest of the parts'. A source's format comes from the first part that has it.
+    """
+    tallies, formats, samples, offset = [], [], [], 0
+    for piece in pieces:
+        shift = F.lit(offset)
+        tallies.append(_numbered(piece.tallies, shift))
+        formats.append(_numbered(piece.formats.select("source_path", "format", *_part_of(piece.formats)), shift))
+        samples.append(_numbered(piece.samples, shift))
+        offset += piece.parts
+    k = max(piece.k for piece in pieces)
+    known = reduce(DataFrame.unionByName, formats).groupBy("source_path").agg(F.min_by("format", "part").alias("format"))
+    rows = reduce(DataFrame.unionByName, samples)
+    order = [F.col("part"), F.col("position")]
+    first = first_k(rows, ["source_path", "kind"], order, k, rank="_place", spread=False)
+    kept = first.withColumn("position", F.col("_place")).withColumn("part", F.lit(0)).drop("_place")
+    return SummaryParts(merge_tallies(tallies), known, kept, k, offset)
 
-    def ranked(kind, column, value):
-        return F.transform(F.col(column), lambda x, i: row(kind, x[value], x["count"], i))
 
-    def mapped(kind, column):
-        return F.transform(F.map_entries(column), lambda e, i: row(kind, e["key"], e["value"], i))
+def _part_of(frame: DataFrame) -> list[str]:
+    return ["part"] if "part" in frame.columns else []
 
-    zero = F.lit(0)
-    lines = F.array(
-        row("line", F.lit("parsed"), F.col("parsed_lines"), zero, F.col("earliest_ts"), F.col("latest_ts")),
-        row("line", F.lit("failed"), F.col("failed_lines"), zero),
-        row("line", F.lit("blank"), F.col("blank_lines"), zero),
-    )
-    rows = F.concat(
-        lines,
-        mapped("level", "level_counts"),
-        mapped("status", "status_codes"),
-        ranked("source", "top_sources", "source"),
-        ranked("error", "top_errors", "message"),
-    )
-    return [rows.alias("rows"), F.col("detected_format"), F.col("errors"), F.col("warnings")]
+
+def _numbered(frame: DataFrame, shift: Column) -> DataFrame:
+    own = F.col("part") if "part" in frame.columns else F.lit(0)
+    return frame.withColumn("part", (own + shift).cast("int"))
+
+
+def merge_summaries(pieces: list[SummaryParts]) -> DataFrame:
+    """SUMMARY over several parts, equal to one run over all their lines."""
+    return assemble_parts(merge_parts(pieces))
+
+
+def assemble_parts(piece: SummaryParts) -> DataFrame:
+    return _assemble(piece.tallies, piece.formats, _sample_arrays(piece.samples))
 
 
 def _assemble(tallies: DataFrame, formats: DataFrame, samples: DataFrame) -> DataFrame:
     """Tallies + formats + sample arrays -> SUMMARY. Inputs are small: keys, not lines."""
     open_keys = tallies.where(F.col("kind").isin(*_RANKED))
     ranked = first_k(
-        open_keys, ["source_path", "kind"], [F.col("n").desc(), F.col("first_line")], TOP_K, rank="place", spread=False
+        open_keys,
+        ["source_path", "kind"],
+        [F.col("n").desc(), *[F.col(c) for c in ("part", "first_line") if c in tallies.columns]],
+        TOP_K,
+        rank="place",
+        spread=False,
     )
     closed = tallies.where(~F.col("kind").isin(*_RANKED)).withColumn("place", F.lit(None).cast("int"))
     rows = closed.unionByName(ranked)
@@ -222,22 +215,15 @@ def _sample_arrays(samples: DataFrame) -> DataFrame:
     )
 
 
-def summarize(
+def summary_parts(
     lines: DataFrame,
     fmt: str | None = None,
     k: int = DEFAULT_SAMPLES,
-    analytics: bool = False,
-    bucket: str = "1h",
     use_fallback: bool = True,
     skip_blank: bool = False,
     registry: FormatRegistry = DEFAULT_REGISTRY,
-) -> DataFrame:
-    """LINES -> SUMMARY, one row per source.
-
-    Runs the detection job and the counting job, stores both small results in the shared folder, and
-    returns a frame that reads them. With ``analytics`` the columns temporal, hourly, trend_direction and
-    peak_period are added, computed on the collected errors and warnings.
-    """
+) -> SummaryParts:
+    """LINES -> what their summary is made of. Runs the detection job and the counting job."""
     if fmt is None:
         found = detect_format(lines, skip_blank=skip_blank, registry=registry)
         formats = materialize(with_fallback(found.select("source_path", "format"), use_fallback))
@@ -254,13 +240,31 @@ def summarize(
     if formats is None:
         formats = tallies.select("source_path").distinct().withColumn("format", F.lit(fmt))
     content = marked.where(~is_blank(F.col("raw")))
-    samples = severity_samples(parse_marked(content, names, registry), k)
-    if analytics:
-        samples = materialize(samples)
-    summary = _assemble(tallies, formats, _sample_arrays(samples))
+    return SummaryParts(tallies, formats, severity_samples(parse_marked(content, names, registry), k), k)
+
+
+def summarize(
+    lines: DataFrame,
+    fmt: str | None = None,
+    k: int = DEFAULT_SAMPLES,
+    analytics: bool = False,
+    bucket: str = "1h",
+    use_fallback: bool = True,
+    skip_blank: bool = False,
+    registry: FormatRegistry = DEFAULT_REGISTRY,
+) -> DataFrame:
+    """LINES -> SUMMARY, one row per source.
+
+    Runs the detection job and the counting job, stores both small results in the shared folder, and
+    returns a frame that reads them. With ``analytics`` the columns temporal, hourly, trend_direction and
+    peak_period are added, computed on the collected errors and warnings.
+    """
+    parts = summary_parts(lines, fmt, k, use_fallback, skip_blank, registry)
     if not analytics:
-        return summary
-    sources = formats.select("source_path")
+        return assemble_parts(parts)
+    samples = materialize(parts.samples)
+    summary = assemble_parts(replace(parts, samples=samples))
+    sources = parts.formats.select("source_path")
     extra = assemble_analytics(sources, temporal_distribution(samples, bucket), hourly_distribution(samples))
     return summary.join(extra, "source_path", "left")
 

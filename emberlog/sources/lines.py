@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..formats import DEFAULT_REGISTRY, FormatRegistry
@@ -26,18 +26,23 @@ def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     if spark.conf.get("spark.sql.files.maxPartitionNum", None):
         raise ValueError("unset spark.sql.files.maxPartitionNum: it merges blocks and breaks line order")
     block = F.col("_metadata.file_block_start")
-    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_TASK))
     return (
         spark.read.text(paths)
         .select(
             F.col("_metadata.file_path").alias("source_path"),
             block.alias("block_start"),
-            (block + F.when(block > 0, 1).otherwise(0) + in_task).alias("line_id"),
+            ordered_ids(block).alias("line_id"),
             F.make_valid_utf8("value").alias("raw"),
         )
     )
 
 
+def ordered_ids(block: Column) -> Column:
+    """Line ids of lines as a file scan yields them, from the start of their block."""
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_TASK))
+    return block + F.when(block > 0, 1).otherwise(0) + in_task
+
+
 def first_block(lines: DataFrame) -> DataFrame:
     """Lines of the first block of each file: enough for detection and preview of files read from text."""
     return lines.where(F.col("block_start") == 0)

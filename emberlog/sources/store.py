@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name
 from ..functions.times import span_text
 from ..operators.counts import span_micros
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, materialize
 
 TABLES = ("analyses", "triages")
 
@@ -120,12 +120,12 @@ def latest_triage(analyses: DataFrame, triages: DataFrame) -> DataFrame:
 
 def cascade_delete(analyses: DataFrame, triages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the listed analyses and their triages; write them to a new root."""
-    gone = broadcast_if_small(ids.select(F.col("id").alias("_gone")).distinct())
+    gone = broadcast_if_small(materialize(ids.select(F.col("id").alias("_gone")).distinct()))
     kept_analyses = analyses.join(gone, F.col("id") == F.col("_gone"), "left_anti")
     kept_triages = triages.join(gone, F.col("analysis_id") == F.col("_gone"), "left_anti")
     return kept_analyses, kept_triages
 
 
 def delete_triages(triages: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = broadcast_if_small(ids.select(F.col("id").alias("_gone")).distinct())
+    gone = broadcast_if_small(materialize(ids.select(F.col("id").alias("_gone")).distinct()))
     return triages.join(gone, F.col("id") == F.col("_gone"), "left_anti")

@@ -2,21 +2,41 @@
 
 The file source picks up new files in a directory; bytes appended to a file it has read are not seen.
 Land or rotate whole files.
+
+``stream_*`` and ``replay`` are plain streaming frames for one known format or a fixed table of formats. The
+``*_batches`` functions work through each micro-batch as a batch frame: they detect formats of files as they
+land, number lines, and take a trigger, so they serve long-running jobs too.
 """
 
 from __future__ import annotations
 
 import json
+import threading
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..formats import DEFAULT_REGISTRY, FormatRegistry
 from ..functions.levels import is_error
-from ..operators.entries import attach_format, drop_blank, formats_in_use, parse_marked, regex_filter
+from ..operators.detect import detect_format, with_fallback
+from ..operators.entries import (
+    attach_format,
+    drop_blank,
+    formats_in_use,
+    from_line,
+    number_lines,
+    parse_marked,
+    regex_filter,
+    replay_rows,
+)
 from ..operators.timeseries import bucket_width
 from ..plans.summary import merge_tallies, tally
+from ..runtime import materialize
+from ..schema import FALLBACK_FORMAT
+from ..sources.lines import ordered_ids, tail_lines
 
 
 def stream_raw(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,10 +44,92 @@ def stream_raw(spark: SparkSession, path: str, files_per_trigger: int | None = N
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.text(path).select(
-        F.col("_metadata.file_path").alias("source_path"), F.make_valid_utf8("value").alias("raw")
+        F.col("_metadata.file_path").alias("source_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.make_valid_utf8("value").alias("raw"),
     )
 
 
+def batch_lines(batch: DataFrame) -> DataFrame:
+    """A micro-batch of :func:`stream_raw` as LINES; ids grow in file order."""
+    return batch.select("source_path", "block_start", ordered_ids(F.col("block_start")).alias("line_id"), "raw")
+
+
+def batch_formats(lines: DataFrame, fmt: str | None, registry: FormatRegistry) -> tuple[DataFrame, list[str]]:
+    """Lines with ``format`` and the names that occur, detected for each file of the batch unless ``fmt`` is given."""
+    if fmt is not None:
+        registry.get(fmt)
+        return lines.withColumn("format", F.lit(fmt)), [fmt]
+    found = detect_format(lines, registry=registry).select("source_path", "format")
+    formats = materialize(with_fallback(found))
+    return attach_format(lines, formats), formats_in_use(formats) or [FALLBACK_FORMAT]
+
+
+def run_batches(
+    lines: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Start a query that hands every micro-batch to ``each``.
+
+    ``trigger`` holds the options of ``DataStreamWriter.trigger``; by default what has landed is worked off.
+    """
+    writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def tail_batches(
+    spark: SparkSession,
+    path: str,
+    sink: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    first: int = 50,
+    pattern: str | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Tail of a directory that starts with the last ``first`` lines of each file that is there already.
+
+    ``sink`` gets (source_path, line_id, raw, received_at) and the batch id; a repeated batch comes again with the
+    same id. Blank lines and lines without the pattern are left out, after the start is cut.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        lines = batch_lines(batch)
+        if batch_id == 0:
+            lines = tail_lines(lines, first)
+        kept = regex_filter(drop_blank(lines.select("source_path", "line_id", "raw")), pattern)
+        sink(kept.withColumn("received_at", F.current_timestamp()), batch_id)
+
+    return run_batches(stream_raw(spark, path), each, checkpoint, trigger)
+
+
+def replay_batches(
+    spark: SparkSession,
+    path: str,
+    sink: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    files_per_trigger: int | None = 1,
+    pattern: str | None = None,
+    start_line: int = 0,
+    fmt: str | None = None,
+    trigger: dict | None = None,
+    registry: FormatRegistry = DEFAULT_REGISTRY,
+) -> StreamingQuery:
+    """Stored files as parsed entries with line numbers and progress, a few files per micro-batch.
+
+    Each file's format is detected when it lands. ``start_line`` jumps into every file. ``sink`` gets the rows of
+    :func:`emberlog.operators.entries.replay_rows` and the batch id.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        numbered = materialize(number_lines(batch_lines(batch)))
+        totals = numbered.groupBy("source_path").agg(F.count(F.lit(1)).alias("total_lines"))
+        marked, names = batch_formats(numbered, fmt, registry)
+        entries = parse_marked(drop_blank(regex_filter(from_line(marked, start_line), pattern)), names, registry)
+        places = numbered.select("source_path", "line_id", "line_no")
+        sink(replay_rows(entries.join(places, ["source_path", "line_id"]), totals), batch_id)
+
+    return run_batches(stream_raw(spark, path, files_per_trigger), each, checkpoint, trigger)
+
+
 def stream_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Tail of a directory: non-blank lines of new files that hold the pattern, stamped on arrival."""
     content = regex_filter(drop_blank(stream_raw(spark, path)), pattern)
@@ -40,11 +142,15 @@ def stream_entries(
     fmt: str | None = None,
     registry: FormatRegistry = DEFAULT_REGISTRY,
 ) -> DataFrame:
-    """Streaming lines -> entries with the batch expressions; formats are a static lookup."""
+    """Streaming lines -> entries with the batch expressions; formats are a static lookup.
+
+    Lines of files that the lookup does not list get the fallback format.
+    """
     content = drop_blank(lines)
     if fmt is not None:
         return parse_marked(content.withColumn("format", F.lit(fmt)), [fmt], registry)
-    return parse_marked(attach_format(content, formats), formats_in_use(formats), registry)
+    names = sorted({*formats_in_use(formats), FALLBACK_FORMAT})
+    return parse_marked(attach_format(content, formats), names, registry)
 
 
 def replay(
@@ -69,17 +175,18 @@ def replay(
     )
 
 
+_REPORT = "batch_id bigint, input_rows bigint, rows_per_second double, late_rows bigint"
+
+
+def _report_row(report: dict) -> tuple[int, int, float, int]:
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for op in report.get("stateOperators", []))
+    return report["batchId"], int(report["numInputRows"]), float(report.get("processedRowsPerSecond") or 0.0), late
+
+
 def progress_metrics(query: StreamingQuery) -> DataFrame:
-    """One row per finished micro-batch: rows read, rows per second, rows dropped as late."""
-    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
-    rows = []
-    for p in query.recentProgress:
-        report = p if isinstance(p, dict) else json.loads(p.json)
-        late = sum(op.get("numRowsDroppedByWatermark", 0) for op in report.get("stateOperators", []))
-        rows.append(
-            (report["batchId"], int(report["numInputRows"]), float(report.get("processedRowsPerSecond") or 0.0), late)
-        )
-    return spark.createDataFrame(rows, "batch_id bigint, input_rows bigint, rows_per_second double, late_rows bigint")
+    """One row per micro-batch that the query still remembers; :class:`ProgressLog` has all of them."""
+    reports = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+    return SparkSession.active().createDataFrame([_report_row(r) for r in reports], _REPORT)
 
 
 def stream_counts(entries: DataFrame, key: str) -> DataFrame:
@@ -106,24 +213,79 @@ def burst_alert(buckets: DataFrame, threshold: int = 100) -> DataFrame:
 
 
 def tally_batches(
-    lines: DataFrame, fmt: str, path: str, checkpoint: str, registry: FormatRegistry = DEFAULT_REGISTRY
+    lines: DataFrame,
+    fmt: str | None,
+    path: str,
+    checkpoint: str,
+    registry: FormatRegistry = DEFAULT_REGISTRY,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write the tally of every micro-batch below ``path``; a repeated batch overwrites its own folder.
 
-    Read it back with :func:`merged_tallies`.
+    Without ``fmt`` each file's format is detected when it lands. Read the tallies back with
+    :func:`merged_tallies`, and fold them from time to time with :func:`compact_tallies`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("line_id", F.monotonically_increasing_id()).withColumn("format", F.lit(fmt))
-        tally(numbered, [fmt], registry).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        marked, names = batch_formats(batch_lines(batch), fmt, registry)
+        tally(marked, names, registry).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (
-        lines.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return run_batches(lines, write, checkpoint, trigger)
+
+
+def compact_tallies(spark: SparkSession, path: str, into: str) -> int:
+    """Fold all batches below ``path`` into one folder below ``into``; returns the last batch in it.
+
+    Folders of batches up to that one may be deleted then. Readers that pass ``into`` skip them in any case.
+    """
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    merged_tallies(spark, path, into).write.mode("overwrite").parquet(f"{into}/upto={last}")
+    return last
+
+
+def merged_tallies(spark: SparkSession, path: str, compacted: str | None = None) -> DataFrame:
+    """The tallies of all batches, of which those up to the last compaction come from ``compacted``."""
+    batches = spark.read.parquet(path)
+    if compacted is None:
+        return merge_tallies([batches.drop("batch")])
+    try:
+        folded = spark.read.parquet(compacted)
+    except AnalysisException:  # nothing folded yet
+        return merge_tallies([batches.drop("batch")])
+    last = folded.agg(F.max("upto")).first()[0]
+    return merge_tallies([folded.where(F.col("upto") == last).drop("upto"), batches.where(F.col("batch") > last).drop("batch")])
+
+
+class ProgressLog(StreamingQueryListener):
+    """Rows read, rate and late rows of every micro-batch, however long a query runs.
+
+    A query itself remembers its last hundred reports only. Register the log before the query starts::
+
+        log = ProgressLog()
+        spark.streams.addListener(log)
+    """
+
+    def __init__(self) -> None:
+        self.reports: dict[str, list[tuple[int, int, float, int]]] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.reports.setdefault(str(event.runId), [])
+        self.ended.setdefault(str(event.runId), threading.Event())
+
+    def onQueryProgress(self, event) -> None:
+        report = json.loads(event.progress.json)
+        self.reports.setdefault(str(report["runId"]), []).append(_report_row(report))
+
+    def onQueryIdle(self, event) -> None:
+        pass
 
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
 
-def merged_tallies(spark: SparkSession, path: str) -> DataFrame:
-    return merge_tallies([spark.read.parquet(path).drop("batch")])
+    def metrics(self, query: StreamingQuery, wait: float = 30.0) -> DataFrame:
+        """One row per finished micro-batch of a query; waits for the last reports of one that has ended."""
+        run = str(query.runId)
+        if not query.isActive:
+            self.ended.setdefault(run, threading.Event()).wait(wait)
+        return SparkSession.active().createDataFrame(self.reports.get(run, []), _REPORT)

@@ -21,6 +21,7 @@ from emberlog.functions import (
 )
 from emberlog.operators import counts, detect, entries as ops, ranking, timeseries as ts, triage
 from emberlog.plans import summary as plans
+from emberlog.runtime import fits_broadcast as runtime_fits
 from emberlog.runtime import broadcast_if_small, materialize, scratch_path
 from emberlog.sources import lines as src, reports, store
 from emberlog.streaming import live
@@ -179,15 +180,52 @@ def test_summary_of_an_empty_source(lines_of):
     assert row["errors"] == [] and row["span_seconds"] is None
 
 
-def test_merged_summaries_keep_samples_and_counters(lines_of):
+SAME = ("total_lines", "blank_lines", "parsed_lines", "failed_lines", "level_counts", "status_codes", "earliest_ts", "latest_ts", "top_errors", "top_sources")
+
+
+def test_merged_summaries_equal_one_run(lines_of):
     log = _log()
     whole = plans.summarize(lines_of(log), fmt="apache_access", k=10).first()
     frame = lines_of(log)
-    halves = [plans.summarize(frame.where(c), fmt="apache_access", k=10) for c in (F.col("line_id") < 200, F.col("line_id") >= 200)]
-    merged = plans.merge_summaries(halves).first()
-    for name in ("total_lines", "blank_lines", "parsed_lines", "failed_lines", "level_counts", "status_codes", "earliest_ts", "latest_ts"):
-        assert merged[name] == whole[name], name
-    assert [e["line_id"] for e in merged["errors"]] == [e["line_id"] for e in whole["errors"]]
+    cuts = (F.col("line_id") < 100, F.col("line_id").between(100, 249), F.col("line_id") >= 250)
+    pieces = [plans.summary_parts(frame.where(c), fmt="apache_access", k=10) for c in cuts]
+    for merged in (plans.merge_summaries(pieces), plans.merge_summaries([plans.merge_parts(pieces[:2]), pieces[2]])):
+        row = merged.first()
+        for name in SAME:
+            assert row[name] == whole[name], name
+        assert [e["line_id"] for e in row["errors"]] == [e["line_id"] for e in whole["errors"]]
+
+
+def test_merging_loses_no_sample_and_no_message(lines_of):
+    """30 errors in each part at k = 50, and a message that is eleventh in both parts but first in the sum."""
+
+    def half(first):
+        rows = [f"m{first + i}" for i in range(10) for _ in range(3)] + ["late"] * 2
+        return [f'{{"level":"error","message":"{m}"}}' for m in rows]
+
+    one, two = half(0), half(10)
+    pieces = [plans.summary_parts(lines_of(p), fmt="json", k=50) for p in (one, two)]
+    row = plans.merge_summaries(pieces).first()
+    assert len(row["errors"]) == 50
+    assert [e["message"] for e in row["errors"]][:32] == [f"m{i // 3}" for i in range(30)] + ["late"] * 2
+    assert (row["top_errors"][0]["message"], row["top_errors"][0]["count"]) == ("late", 4)
+    assert [m["message"] for m in row["top_errors"][1:]] == [f"m{i}" for i in range(9)]
+
+
+def test_unlisted_sources_keep_their_lines(spark, lines_of, monkeypatch):
+    from emberlog import runtime
+
+    lines = lines_of({"file:///logs/a": ['{"level":"error","message":"x"}'] * 5, "/b": ["plain warning"] * 3})
+    formats = spark.createDataFrame([("file:/logs/a", "json")], "source_path string, format string")
+    for small in (True, False):
+        monkeypatch.setattr(runtime, "fits_broadcast", lambda *a, small=small: small)
+        rows = ops.parse_entries(lines, formats).groupBy("source_path", "format", "level").count().collect()
+        assert sorted(map(tuple, rows)) == [("/b", "universal", "WARNING", 3), ("file:///logs/a", "json", "ERROR", 5)]
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    frame = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("a"))
+    assert runtime_fits(frame, 100, 20_000) and not runtime_fits(frame, 100, 5_000) and not runtime_fits(frame, 5, 20_000)
 
 
 @pytest.mark.parametrize("values,want", [([10, 20, 30], "increasing"), ([30, 20, 10], "decreasing"), ([10, 10, 10], "stable"), ([5], "stable")])
@@ -294,6 +332,23 @@ def test_bad_pattern_keeps_every_line(lines_of):
     assert ops.regex_filter(frame, r"\d").count() == 1
 
 
+@pytest.mark.parametrize(
+    "pattern,hits",
+    [
+        (r"(?P<q>ab)c", 1),
+        (r"(?P<a_b>x)(?P=a_b)", 1),
+        (r"c\Z", 1),
+        (r"[[]z", 1),
+        (r"[]&&]q", 1),
+        (r"(a)?b(?(1)c|d)", 2),
+        (r"\(\?P<", 1),
+    ],
+)
+def test_python_patterns_filter(lines_of, pattern, hits):
+    frame = lines_of(["abc", "xx", "[z", "&q", "bd", "(?P<", "none"])
+    assert ops.regex_filter(frame, pattern).count() == hits
+
+
 def test_unknown_level_is_below_every_floor(lines_of):
     entries = ops.parse_entries(lines_of(['{"level":"odd","message":"x"}', '{"level":"error","message":"y"}']), fmt="json")
     assert [r["message"] for r in ops.min_level(entries, "DEBUG").collect()] == ["y"]
