@@ -15,6 +15,7 @@ from ..formats.base import Line, pick_stamp
 from ..functions.levels import level_rank
 from ..functions.text import is_blank
 from ..functions.times import stamp_instant, stamp_wall_clock
+from ..functions.variants import member, parse_json
 from ..runtime import broadcast_if_small, lookup_join, materialize, settle
 from ..schema import ENTRIES, ENTRY_FIELDS, FALLBACK_FORMAT, LEVELS
 
@@ -152,6 +153,36 @@ def parse_python(
     return lines.mapInPandas(fn, ENTRIES)
 
 
+def explode_batches(lines: DataFrame) -> DataFrame:
+    """One line for each record of a batch, where a line holds several; other lines stay as they are.
+
+    CloudWatch batches become batches of one event with the group and stream of the whole, Azure arrays become
+    their objects. Records keep the ``line_id`` of their line and get its ``record`` number. Parsers read the first
+    record of a batch only; call this before them to read all.
+    """
+    opens = F.regexp_replace(F.col("raw"), "^\\s+", "")
+    doc = F.when(opens.startswith("{") & F.contains("raw", F.lit('"logEvents"')) | opens.startswith("["), parse_json(F.col("raw")))
+    events = F.try_variant_get("_doc", "$.logEvents", "array<variant>")
+    objects = F.try_variant_get("_doc", "$", "array<variant>")
+    context = F.concat_ws(
+        "",
+        F.lit("{"),
+        *[
+            F.when(member(F.col("_doc"), key).isNotNull(), F.concat(F.lit(f'"{key}":'), F.to_json(member(F.col("_doc"), key)), F.lit(",")))
+            for key in ("logGroup", "logStream")
+        ],
+        F.lit('"logEvents":['),
+    )
+    records = (
+        F.when(F.size(events) > 0, F.transform(events, lambda e: F.concat("_context", F.to_json(e), F.lit("]}"))))
+        .when(F.size(objects) > 0, F.transform(objects, lambda e: F.to_json(e)))
+        .otherwise(F.array("raw"))
+    )
+    read = lines.withColumn("_doc", doc).withColumn("_context", context)
+    rest = [c for c in lines.columns if c != "raw"]
+    return read.select(*rest, F.posexplode(records).alias("record", "raw"))
+
+
 def min_level(entries: DataFrame, level: str = "ERROR", limit: int = 20) -> DataFrame:
     """First entries at or above a level, in file order. Words outside the five levels are dropped."""
     floor = LEVELS.index(level)

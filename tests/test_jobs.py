@@ -212,6 +212,16 @@ def test_merging_loses_no_sample_and_no_message(lines_of):
     assert [m["message"] for m in row["top_errors"][1:]] == [f"m{i}" for i in range(9)]
 
 
+def test_all_records_of_a_batch(lines_of):
+    cloud = '{"logGroup":"/g","logStream":"s","logEvents":[{"message":"[INFO] one"},{"message":"[ERROR] two"},{"message":"[WARN] three"}]}'
+    azure = ' [{"time":"2031-05-06T07:08:09Z","level":"Fatal","message":"m"},{"time":"2031-05-06T07:08:10Z","level":"Warning","message":"n"}]'
+    rows = ops.parse_entries(ops.explode_batches(lines_of([cloud, "2031-05-06T07:08:09.010Z [WARN] x", "[broken"])), fmt="aws_cloudwatch").collect()
+    got = [(r["line_id"], r["message"], r["source"]) for r in rows if r["parsed"]]
+    assert sorted(got) == [(0, "[ERROR] two", "/g"), (0, "[INFO] one", "/g"), (0, "[WARN] three", "/g"), (1, "x", None)]
+    rows = ops.parse_entries(ops.explode_batches(lines_of([azure])), fmt="azure_monitor").collect()
+    assert sorted((r["level"], r["message"]) for r in rows) == [("CRITICAL", "m"), ("WARNING", "n")]
+
+
 def test_unlisted_sources_keep_their_lines(spark, lines_of, monkeypatch):
     from emberlog import runtime
 
@@ -394,6 +404,67 @@ def test_batches_of_a_stream_add_up_to_the_batch_answer(spark, tmp_path):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_progress_log_remembers_every_batch(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    for i in range(7):
+        (landing / f"{i}.log").write_text("a\nb\n" * (i + 1))
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    log = live.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        query = live.run_batches(live.stream_raw(spark, str(landing), 1), lambda b, i: None, str(tmp_path / "offsets"))
+        query.awaitTermination()
+        rows = log.metrics(query).where("input_rows >= 0").collect()
+        assert live.progress_metrics(query).count() <= 2
+    finally:
+        spark.streams.removeListener(log)
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    assert len(rows) == 7
+
+
+def test_streams_detect_the_format_of_files_that_land_later(spark, tmp_path):
+    landing, out, folded = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "folded")
+    landing.mkdir()
+    seen = []
+
+    def sink(rows, batch_id):
+        seen.extend((r["level"], r["line_no"], r["progress"], r["parsed"]) for r in rows.collect())
+
+    def work():
+        live.replay_batches(spark, str(landing), sink, str(tmp_path / "a"), None, start_line=1).awaitTermination()
+        live.tally_batches(live.stream_raw(spark, str(landing)), None, out, str(tmp_path / "b")).awaitTermination()
+
+    (landing / "one.log").write_text('198.51.100.7 - - [06/May/2031:07:08:09 +0000] "GET /a HTTP/1.1" 500 8\n' * 4)
+    work()
+    assert live.compact_tallies(spark, out, folded) == 0
+    (landing / "two.log").write_text('{"level":"warning","message":"m","timestamp":"2031-05-06T07:08:09Z"}\n\n' * 2)
+    work()
+    assert sorted(seen) == [("ERROR", 1, 0.25, True), ("ERROR", 2, 0.5, True), ("ERROR", 3, 0.75, True), ("WARNING", 2, 0.5, True)]
+    tallies = live.merged_tallies(spark, out, folded).where("kind = 'level'").select("key", "n").collect()
+    assert sorted(map(tuple, tallies)) == [("ERROR", 4), ("WARNING", 2)]
+    live.compact_tallies(spark, out, folded)
+    again = live.merged_tallies(spark, out, folded).where("kind = 'level'").select("key", "n").collect()
+    assert sorted(map(tuple, again)) == [("ERROR", 4), ("WARNING", 2)]
+
+
+def test_tail_starts_with_the_last_lines(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    seen = []
+
+    def tail():
+        live.tail_batches(spark, str(landing), lambda rows, i: seen.extend(r["raw"] for r in rows.collect()), str(tmp_path / "o"), first=3).awaitTermination()
+
+    (landing / "one.log").write_text("".join(f"line {i}\n" for i in range(100)))
+    tail()
+    assert sorted(seen) == ["line 97", "line 98", "line 99"]
+    (landing / "two.log").write_text("".join(f"new {i}\n" for i in range(9)))
+    tail()
+    assert len(seen) == 12
+
+
 def test_materialized_frames_have_no_lineage(spark):
     frame = materialize(spark.range(10).withColumn("x", F.col("id") * 2))
     assert "Range" not in frame._jdf.queryExecution().optimizedPlan().toString()
