@@ -22,7 +22,8 @@ VECTOR = {"v_length": 0.25, "v_word": 0.05, "v_symbols": 0.15, "v_lines": 0.15,
 SUBSET = 0.75
 STEPS = 4
 LEAST_GROUP = 100
-TAIL = 1e-6
+#: Ordinary documents have longer tails than a normal law, so the cut lies far out.
+TAIL = 1e-12
 
 
 def chi2_cdf(x: float, k: int) -> float:
