@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as driver
 from checks.compare import compare, database
+from checks.registry import QUERIES
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 
@@ -19,7 +20,7 @@ def con():
     return database(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, SF_DIR, name, con) is None
 
