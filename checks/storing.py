@@ -202,12 +202,19 @@ def markdown_reports(spark, sf_dir):
 
 @query(
     "write_report",
-    f"WITH {LOG} SELECT count(DISTINCT source_path) AS reports FROM log",
+    f"""WITH {LOG}, s AS (SELECT source_path, count(*) AS n FROM log GROUP BY ALL)
+SELECT count(*) AS reports, count(*) AS overviews, sum(n)::BIGINT AS total_lines FROM s""",
 )
 def write_report(spark, sf_dir):
     path = scratch_path(spark, "report")
     reports.write_report(_summary(spark, sf_dir), path)
-    return spark.read.json(path).agg(F.count(F.lit(1)).alias("reports"))
+    lines = spark.read.text(path)
+    total = F.regexp_extract("value", r"^\W*Total [Ll]ines\W+([0-9,]+)", 1)
+    return lines.agg(
+        F.count_distinct("report").alias("reports"),
+        F.count_if(F.col("value") == "## Overview").alias("overviews"),
+        F.sum(F.when(total != "", F.regexp_replace(total, ",", "").cast("bigint"))).alias("total_lines"),
+    )
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Per-source summary of log files: one parse pass for all counts, one for the samples.
+"""Per-source summary of log files: one parse pass for all counts; samples parse only the blocks that hold them.
 
 The counting pass turns every line into a few (kind, key) rows and aggregates them together, so line
 counts, levels, status codes, sources, error messages and the time range cost one scan, one parse and one
@@ -10,11 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..formats import DEFAULT_REGISTRY, FormatRegistry
-from ..functions.levels import is_error
+from ..functions.levels import is_error, is_warning
 from ..functions.rates import error_rate, parse_success_rate
 from ..functions.text import is_blank
 from ..operators.counts import severity_samples, span_micros
@@ -22,16 +22,20 @@ from ..operators.detect import detect_format, with_fallback
 from ..operators.entries import attach_format, formats_in_use, parse_marked
 from ..operators.ranking import first_k
 from ..operators.timeseries import assemble_analytics, hourly_distribution, temporal_distribution
-from ..runtime import materialize
+from ..runtime import broadcast_if_small, materialize
 from ..schema import DEFAULT_SAMPLES, TOP_K
 
 _RANKED = ("source", "error")
+_BY_BLOCK = ("error_block", "warning_block")
 
 
-def tally(marked: DataFrame, names: list[str], registry: FormatRegistry = DEFAULT_REGISTRY) -> DataFrame:
+def tally(
+    marked: DataFrame, names: list[str], registry: FormatRegistry = DEFAULT_REGISTRY, by_block: bool = False
+) -> DataFrame:
     """Lines with ``format`` -> (source_path, kind, key, n, first_line, earliest_ts, latest_ts).
 
-    Kinds: ``line`` (blank, parsed, failed), ``level``, ``status``, ``source``, ``error`` (message).
+    Kinds: ``line`` (blank, parsed, failed), ``level``, ``status``, ``source``, ``error`` (message). With
+    ``by_block`` also ``error_block`` and ``warning_block``, counts of those lines by block start.
     """
     entries = parse_marked(marked, names, registry)
     ok, level = F.col("parsed"), F.col("level")
@@ -40,15 +44,18 @@ def tally(marked: DataFrame, names: list[str], registry: FormatRegistry = DEFAUL
     def pair(kind: str, key: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
-    pairs = F.array(
+    pairs = [
         pair("line", outcome),
         pair("level", F.when(ok, F.nullif(level, F.lit("")))),
         pair("status", F.when(ok, F.col("status"))),
         pair("source", F.when(ok, F.nullif(F.col("source"), F.lit("")))),
         pair("error", F.when(ok & is_error(level), F.col("message"))),
-    )
+    ]
+    if by_block:
+        block = F.col("block_start").cast("string")
+        pairs += [pair("error_block", F.when(ok & is_error(level), block)), pair("warning_block", F.when(ok & is_warning(level), block))]
     rows = (
-        entries.select("source_path", "line_id", "event_ts", F.explode(pairs).alias("p"))
+        entries.select("source_path", "line_id", "event_ts", F.explode(F.array(*pairs)).alias("p"))
         .where(F.col("p.key").isNotNull())
         .select("source_path", "line_id", F.col("p.kind").alias("kind"), F.col("p.key").alias("key"), "event_ts")
     )
@@ -236,13 +243,31 @@ def summary_parts(
         names = [fmt]
         marked = lines.withColumn("format", F.lit(fmt))
         formats = None
-    tallies = materialize(tally(marked, names, registry))
+    content = marked.where(~is_blank(F.col("raw")))
+    if "block_start" in lines.columns:
+        counted = materialize(tally(marked, names, registry, by_block=True))
+        tallies = counted.where(~F.col("kind").isin(*_BY_BLOCK))
+        content = content.join(broadcast_if_small(_sampled_blocks(counted, k)), ["source_path", "block_start"], "left_semi")
+    else:
+        tallies = materialize(tally(marked, names, registry))
     if formats is None:
         formats = tallies.select("source_path").distinct().withColumn("format", F.lit(fmt))
-    content = marked.where(~is_blank(F.col("raw")))
     return SummaryParts(tallies, formats, severity_samples(parse_marked(content, names, registry), k), k)
 
 
+def _sampled_blocks(counted: DataFrame, k: int) -> DataFrame:
+    """(source_path, block_start) of the blocks that hold the first ``k`` errors or warnings of a source.
+
+    Line ids grow with block starts, so the samples lie in the blocks before which fewer than ``k`` were counted.
+    """
+    earlier = (
+        Window.partitionBy("source_path", "kind").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    blocks = counted.where(F.col("kind").isin(*_BY_BLOCK)).withColumn("block_start", F.col("key").cast("bigint"))
+    needed = blocks.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(F.col("_before") < k)
+    return materialize(needed.select("source_path", "block_start").distinct())
+
+
 def summarize(
     lines: DataFrame,
     fmt: str | None = None,

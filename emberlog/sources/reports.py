@@ -302,7 +302,8 @@ def _analytics_sections() -> list[Column]:
 
 def write_report(summary: DataFrame, path: str, fmt: str = "markdown") -> None:
     """Write reports of all sources. ``csv`` gives one dataset per section, ``json`` one document per
-    line, ``markdown`` (also for unknown names) one row per source with its text. HTML is not offered."""
+    line, ``markdown`` (also for unknown names) one Markdown text for each source, in a folder
+    ``report=<base name>-<hash of the path>``. HTML is not offered."""
     if fmt == "html":
         raise ValueError("HTML reports are not offered; the frames in operators.tables hold their data")
     if fmt == "csv":
@@ -310,4 +311,6 @@ def write_report(summary: DataFrame, path: str, fmt: str = "markdown") -> None:
     elif fmt == "json":
         summary_json(summary).select("json").write.mode("overwrite").text(path)
     else:
-        markdown_reports(summary).write.mode("overwrite").json(path)
+        name = F.concat_ws("-", base_name(F.col("source_path")), F.lower(F.hex(F.xxhash64("source_path"))))
+        texts = markdown_reports(summary).select(name.alias("report"), F.col("text").alias("value"))
+        texts.repartition("report").write.mode("overwrite").partitionBy("report").text(path)
