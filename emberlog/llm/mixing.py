@@ -17,7 +17,7 @@ from .common import place
 BLOCK_BYTES = 1 << 16
 RESOLUTION = 1000
 ALPHA = 0.7
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 
 
 def quantise(weights: list[float], resolution: int) -> list[int]:
