@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from emberlog.runtime import materialize
+
 from .common import flat, pick, slices
 from .words import mix
 
@@ -110,6 +112,10 @@ def segments(part: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np
 
 
 def anchored_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Runs of all rows. Of runs that are equal within a slice of the input one stands for all (``again``); the
+    others are known to repeat (``known``) and get keys of their own, so that copies never meet in one task.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, SEGMENT):
             keys = part.column(0).to_numpy()
@@ -118,18 +124,28 @@ def anchored_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 if not len(got["doc"]):
                     continue
                 begin = got["begin"] - starts[got["doc"]] + shift[got["doc"]]
+                rid = keys[row[got["doc"]]]
+                lead, grams, ctx = leads(data, got["begin"] + got["off"]), got["gram"], got["ctx"]
+                _, first, inverse, count = np.unique(grams + ctx * _BASE, return_index=True, return_inverse=True, return_counts=True)
+                known = np.ones(len(ctx), bool)
+                known[first] = False
+                own = mix(rid.view(np.uint64) ^ mix(begin.astype(np.uint64)))
                 arrays = [
-                    pa.array(leads(data, got["begin"] + got["off"])),
-                    pa.array(got["gram"].view(np.int64)),
-                    pa.array(got["ctx"].view(np.int64)),
-                    pa.array(keys[row[got["doc"]]]),
+                    pa.array(np.where(known, own.view(np.int64), lead)),
+                    pa.array(np.where(known, own, grams).view(np.int64)),
+                    pa.array(np.where(known, np.uint64(0), ctx).view(np.int64)),
+                    pa.array(rid),
                     pa.array(begin),
                     pa.array(got["span"].astype(np.int32)),
                     pa.array(got["off"].astype(np.int32)),
+                    pa.array(~known & (count[inverse] > 1)),
+                    pa.array(known),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["lead", "gram", "ctx", "rid", "at", "span", "off"])
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return rows.select("rid", "text").mapInArrow(run, "lead bigint, gram bigint, ctx bigint, rid bigint, at bigint, span int, off int")
+    names = ["lead", "gram", "ctx", "rid", "at", "span", "off", "again", "known"]
+    kinds = ["bigint"] * 5 + ["int", "int", "boolean", "boolean"]
+    return rows.select("rid", "text").mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds))))
 
 
 def multikey_order(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -353,14 +369,17 @@ def repeated_strings(
         "at",
         "span",
         "off",
+        "again",
+        "known",
         F.count(F.lit(1)).over(whole).alias("n"),
         (F.first("ctx").over(whole) != F.last("ctx").over(whole)).alias("mixed"),
         F.coalesce(F.lag("ctx").over(order) == F.col("ctx"), F.lit(False)).alias("as_before"),
         F.coalesce(F.lead("ctx").over(order) == F.col("ctx"), F.lit(False)).alias("as_after"),
-    ).where("n > 1")
-    full = F.col("as_before") | F.col("as_after")
+    )
+    runs = materialize(runs.where("n > 1 OR again OR known"))
+    full = F.col("as_before") | F.col("as_after") | F.col("again") | F.col("known")
     stretches = runs.where(full).select("rid", F.col("at").alias("begin"), (F.col("at") + F.col("span")).alias("stop"))
-    pool = runs.where(F.col("mixed") & ~F.col("as_before"))
+    pool = runs.where(F.col("mixed") & ~F.col("as_before") & ~F.col("known"))
     item = F.struct("at", "span", "off", (F.col("n") > hot).alias("hot"), (~full).alias("edge"))
     pool = pool.groupBy("rid").agg(F.collect_list(item).alias("pool"))
     dealt = rows.repartition("rid")
