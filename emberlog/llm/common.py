@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from emberlog.runtime import broadcast_if_small
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -76,6 +76,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLIC
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        pa.default_memory_pool().release_unused()  # workers live on from task to task
 
 
 def text_bytes(texts: pa.Array) -> np.ndarray:

@@ -16,7 +16,7 @@ from .words import mix, word_hashes
 SAMPLES = 128
 STEPS = 1 << 16
 CELLS = 1 << 16
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def _gamma_quantiles() -> np.ndarray:

@@ -61,6 +61,13 @@ def gram_counts(text: str | None, dim: int = DIM) -> tuple[np.ndarray, np.ndarra
     return where, total[where]
 
 
+def lists_of(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays of their own."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return [x.copy() for x in np.split(values, ends[:-1])]
+
+
 def weigh(where: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF with logarithmic counts, scaled to length 1."""
     x = (1.0 + np.log(counts)) * idf[where]
@@ -122,7 +129,7 @@ def train_on(samples: list[tuple[int, str, np.ndarray, np.ndarray]], idf: np.nda
         return Model([], idf, np.zeros((len(idf) + 1, 0)), 1.0)
     number = {c: i for i, c in enumerate(classes)}
     ready = [
-        (h % 5 == 0, number[c], np.append(w, len(idf)), np.append(weigh(w, n, idf), 1.0))
+        (h % 5 == 0, number[c], np.append(w, np.int32(len(idf))), np.append(weigh(w, n, idf), 1.0).astype(np.float32))
         for h, c, w, n in sorted(samples, key=lambda s: (s[0], s[1]))
     ]
     fit = [r for r in ready if not r[0]] or ready
@@ -190,18 +197,17 @@ def fit(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, epochs: int
         for part in slices(batches, 2):
             out = [(*r, *got) for r in zip(*map(pa.Array.to_pylist, part.columns)) if (got := gram_counts(r[2], dim)) is not None]
             arrays = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())]
-            arrays += [pa.array([o[i].tolist() for o in out], pa.list_(pa.int32())) for i in (3, 4)]
+            arrays += [pa.array([o[i].astype(np.int32) for o in out], pa.list_(pa.int32())) for i in (3, 4)]
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "hash", "grams", "counts"])
 
     kinds = "lang string, hash bigint, grams array<int>, counts array<int>"
     sample = chosen.mapInArrow(vectors, kinds).dropDuplicates(["lang", "hash"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = [
-            (h, c, np.array(w, np.int64), np.array(n, np.float64))
-            for part in batches
-            for c, h, w, n in zip(*map(pa.Array.to_pylist, part.columns))
-        ]
+        samples = []
+        for part in batches:
+            grams, counts = (lists_of(part.column(i)) for i in (2, 3))
+            samples += zip(part.column(1).to_pylist(), part.column(0).to_pylist(), grams, counts)
         model = train_on(samples, idf, epochs)
         fields = [json.dumps(model.classes), model.weights.astype(np.float32).tobytes(), model.temperature]
         kinds = [pa.string(), pa.binary(), pa.float64()]

@@ -98,7 +98,7 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def counter(path: str, limit: int = 300_000) -> PieceMemo:
+def counter(path: str, limit: int = 200_000) -> PieceMemo:
     """Token counts by the ``tokenizers`` library, one memo per worker."""
     key = ("counts", path)
     if key not in _LOADED:
@@ -119,7 +119,7 @@ def _byte_of_char() -> dict[str, int]:
     return table
 
 
-def id_encoder(path: str, limit: int = 300_000) -> PieceMemo:
+def id_encoder(path: str, limit: int = 150_000) -> PieceMemo:
     """Token ids as little-endian unsigned 32-bit bytes, one memo per worker.
 
     Pieces of Latin letters go through the tiktoken encoder with the ranks of the same vocabulary file, which is
