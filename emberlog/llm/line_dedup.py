@@ -21,7 +21,7 @@ BUCKETS = 1 << 22
 BLOCK = 1 << 13
 LEAST_WORDS = 5
 HOT = 1 << 15
-SLICE = 4 << 20
+SLICE = 2 << 20
 NO_ID = -(1 << 63)
 _KEEP = np.uint64((1 << 63) - 1)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -40,6 +40,22 @@ class Lines:
     in_doc: np.ndarray
 
 
+def order_in_groups(group: np.ndarray, upper: np.ndarray | None, values: np.ndarray) -> np.ndarray:
+    """Order by group, then ``upper`` (a byte), then value: one sort of packed keys, and a full one if keys tie."""
+    if not len(group):
+        return np.zeros(0, np.int64)
+    bits = 64 - int(group[-1]).bit_length() - (8 if upper is not None else 0)
+    key = group.astype(np.uint64) << np.uint64(64 - int(group[-1]).bit_length()) if group[-1] else np.zeros(len(group), np.uint64)
+    if upper is not None:
+        key |= upper.astype(np.uint64) << np.uint64(bits)
+    key |= values >> np.uint64(64 - bits)
+    order = np.argsort(key)
+    sorted_values, sorted_key = values[order], key[order]
+    if ((sorted_key[1:] == sorted_key[:-1]) & (sorted_values[1:] != sorted_values[:-1])).any():
+        return np.lexsort((values, group) if upper is None else (values, upper, group))
+    return order
+
+
 def read_lines(texts: pa.Array, least: int) -> Lines:
     data, starts = flat(texts)
     breaks = np.flatnonzero(data == 10) + 1
@@ -50,12 +66,13 @@ def read_lines(texts: pa.Array, least: int) -> Lines:
     ends_open = np.isin(starts[1:], breaks) & (starts[1:] > starts[:-1])
     in_doc = np.where(ends_open & (in_doc > 0), count + 1, in_doc)
     hashes, owner = word_hashes(data, line_starts)
-    order = np.lexsort((hashes, owner))
+    order = order_in_groups(owner, None, hashes)
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     hashes, owner = hashes[new], owner[new]
-    lines, first, size = np.unique(owner, return_index=True, return_counts=True)
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    lines, size = owner[heads], np.diff(np.append(heads, len(owner)))
     enough = size >= least
     kept = np.repeat(enough, size)
     lines, size = lines[enough], size[enough]
@@ -71,40 +88,44 @@ def read_lines(texts: pa.Array, least: int) -> Lines:
 
 
 def numbered_lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, n_lines, numbers, nodes) for each document: its eligible lines and the ids of their token sets."""
+    """One scan for two kinds of rows: the lines of each document, and counts of the tokens of each task.
+
+    Document rows hold doc_id, n_lines, and the numbers and set ids of eligible lines (``nodes``); the others a
+    ``block`` of the counts in BUCKETS buckets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
         for part in slices(batches, 1, SLICE):
             got = read_lines(part.column(1), least)
+            total += np.bincount((got.tokens >> np.uint64(42)).astype(np.int64), minlength=BUCKETS)
             cut = np.searchsorted(got.doc, np.arange(part.num_rows + 1)).astype(np.int32)
             arrays = [
                 part.column(0),
                 pa.array(got.in_doc, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(cut), pa.array(got.number.astype(np.int32))),
                 pa.ListArray.from_arrays(pa.array(cut), pa.array(got.node)),
+                pa.nulls(part.num_rows, pa.int32()),
+                pa.nulls(part.num_rows, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_lines", "numbers", "nodes"])
+            yield pa.RecordBatch.from_arrays(arrays, names)
+        blocks = total.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        packed = [zlib.compress(blocks[b].astype("<i8").tobytes(), 1) for b in some]
+        nothing = [pa.nulls(len(some), k) for k in (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id bigint, n_lines bigint, numbers array<int>, nodes array<bigint>")
+    names = ["doc_id", "n_lines", "numbers", "nodes", "block", "counts"]
+    return docs.mapInArrow(run, "doc_id bigint, n_lines bigint, numbers array<int>, nodes array<bigint>, block int, counts binary")
 
 
-def rarity_codes(docs: DataFrame, least: int) -> np.ndarray:
+def rarity_codes(counted: DataFrame) -> np.ndarray:
     """One byte for each of BUCKETS token buckets that grows with the bucket's count over all lines.
 
     Exact up to 15, then eighths of powers of two. Any table gives a right join, as it only fixes an order of
-    tokens; a better one makes prefixes rarer. Tasks count into a fixed array and send blocks of it.
+    tokens; a better one makes prefixes rarer. What is added up are blocks of the tasks' fixed arrays.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for part in slices(batches, 0, SLICE):
-            tokens = read_lines(part.column(0), least).tokens
-            total += np.bincount((tokens >> np.uint64(42)).astype(np.int64), minlength=BUCKETS)
-        blocks = total.reshape(-1, BLOCK)
-        some = np.flatnonzero(blocks.any(axis=1))
-        packed = [zlib.compress(blocks[b].astype("<i8").tobytes(), 1) for b in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for part in batches:
@@ -118,9 +139,9 @@ def rarity_codes(docs: DataFrame, least: int) -> np.ndarray:
         arrays = [pa.array(list(totals), pa.int32()), pa.array(codes, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, ["block", "codes"])
 
-    summed = docs.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, codes binary")
+    summed = counted.select("block", "counts").repartition("block").mapInArrow(add, "block int, codes binary")
     table = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint8)
-    for row in summed.toLocalIterator():  # BUCKETS bytes in all
+    for row in summed.collect():  # BUCKETS bytes in all
         table[row.block] = np.frombuffer(row.codes, np.uint8)
     return table.reshape(-1)
 
@@ -149,7 +170,7 @@ def prefix_rows(docs: DataFrame, least: int, num: int, den: int, codes: np.ndarr
             upper = (bit >> np.uint64(6)) & np.uint64(1) == 1
             low = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), word), got.first)
             high = np.bitwise_xor.reduceat(np.where(upper, word, np.uint64(0)), got.first)
-            order = np.lexsort((got.tokens, code, line))
+            order = order_in_groups(line, code, got.tokens)
             tokens, code = got.tokens[order], code[order]
             position = np.arange(len(tokens)) - np.repeat(got.first, got.size)
             prefix = got.size + (-got.size * num // den) + 1
@@ -273,7 +294,7 @@ def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least:
             values = [got.tokens[got.first[k] : got.first[k] + got.size[k]].view(np.int64) for k in rows]
             yield pa.RecordBatch.from_arrays([pa.array(got.node[rows]), pa.array(values, pa.list_(pa.int64()))], ["node", "set"])
 
-    texts = docs.join(broadcast_if_small(materialize(wanted), 50_000), F.col("doc_id") == F.col("_doc")).select("text", "wanted")
+    texts = docs.join(broadcast_if_small(materialize(wanted)), F.col("doc_id") == F.col("_doc")).select("text", "wanted")
     with_sets = texts.mapInArrow(sets, "node bigint, set array<bigint>")
     tasks = deal(members, "size").select("root", "i", "j", "part", "node", F.col("at.doc").alias("doc"), F.col("at.line").alias("line"))
     tasks = tasks.join(with_sets, "node").select("root", "i", "j", "part", "node", "doc", "line", "set")
@@ -320,12 +341,13 @@ def repeated_lines(
     columns are ignored. Ids are integers.
     """
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-    found = materialize(numbered_lines(rows, least_words))
+    both = materialize(numbered_lines(rows, least_words))
+    found = both.where(F.col("block").isNull()).select("doc_id", "n_lines", "numbers", "nodes")
     lines = found.select(F.col("doc_id").alias("doc"), F.explode(F.arrays_zip("numbers", "nodes")).alias("_l"))
     lines = lines.select("doc", F.col("_l.numbers").alias("line"), F.col("_l.nodes").alias("node"))
     at = F.struct("doc", "line")
     first = materialize(lines.groupBy("node").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n")))
-    codes = rarity_codes(rows, least_words)
+    codes = rarity_codes(both.where(F.col("block").isNotNull()))
     edges = candidate_edges(prefix_rows(rows, least_words, num, den, codes), num, den)
     near = earliest_similar(rows, first.select("node", "at", F.lit(64).alias("size")), edges, least_words, num, den)
     near = materialize(near)
