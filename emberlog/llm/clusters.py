@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,22 +40,34 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
 
 
-def deal(members: DataFrame, size: str) -> DataFrame:
-    """Deal cluster members to tasks: adds ``part``, ``i``, ``j`` to rows (node, root, ...).
+def deal(members: DataFrame, size: str, ratio: float) -> DataFrame:
+    """Deal cluster members to tasks: adds ``band``, ``i``, ``j``, ``part`` and ``side`` to rows (node, root, ...).
 
-    A cluster within MEMBERS rows and ENTRIES set entries is one task (i = j = 0). A larger one is cut into
-    blocks by node hash, and each pair of blocks is a task of that size: no pair is lost and no task is larger.
+    A cluster within MEMBERS rows and ENTRIES set entries is one task. A larger one is first cut by set size: sets
+    that differ in size by more than ``ratio`` cannot be similar, so classes of that ratio only meet themselves
+    and the next class, whose rows come along as ``side`` 1. A task that is still larger is cut into blocks by
+    node hash, and each pair of blocks is a task. No pair is lost and no task is larger.
     """
-    totals = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("entries"))
-    need = F.greatest(F.col("n") / MEMBERS, F.col("entries") / ENTRIES)
-    totals = totals.select("root", F.when(need <= 1, 1).otherwise(F.ceil(2 * need)).cast("int").alias("_blocks"))
+    need = F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum(size) / ENTRIES)
+    totals = members.groupBy("root").agg((need > 1).alias("_large"))
     rows = members.join(broadcast_if_small(totals, 100_000), "root")
+    own = F.floor(F.log(F.col(size)) / math.log(ratio)).cast("int")
+    at = lambda band, side: F.struct(band.alias("band"), F.lit(side).alias("side"))
+    places = F.when(F.col("_large"), F.array(at(own, 0), at(own - 1, 1))).otherwise(F.array(at(F.lit(0), 0)))
+    rows = rows.withColumn("_place", F.explode(places)).select(*members.columns, "_place.*")
+    groups = rows.groupBy("root", "band").agg(need.alias("_need"), F.min("side").alias("_first"))
+    groups = groups.where("_first = 0").select("root", "band", F.when(F.col("_need") <= 1, 1).otherwise(F.ceil(2 * F.col("_need"))).cast("int").alias("_blocks"))
+    rows = rows.join(broadcast_if_small(groups, 100_000), ["root", "band"])
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.withColumn("i", F.least("part", "_other")).withColumn("j", F.greatest("part", "_other"))
     return rows.drop("_blocks", "_other")
 
 
+#: What a task's rows start with.
+TASK = ["root", "band", "i", "j", "part", "side", "node"]
+
+
 class Overlaps:
     """Exact overlaps among sorted sets by an inverted index."""
 
@@ -80,6 +93,13 @@ class Overlaps:
         inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         return np.bincount(self.posting[np.repeat(first, n) + inside], minlength=self.n)
 
+    def partners(self, i: int, num: int, den: int, part: np.ndarray, side: np.ndarray, cross: bool) -> np.ndarray:
+        """As :meth:`similar`, only the pairs that this task is there for."""
+        near = self.similar(i, num, den)
+        if cross:
+            near = near[part[near] != part[i]]
+        return near[side[near] == 0] if side[i] else near
+
     def similar(self, i: int, num: int, den: int) -> np.ndarray:
         """Members other than i whose Jaccard similarity with it is num / den or more."""
         common = self.with_member(i)
@@ -142,6 +162,6 @@ class Forest:
 
 
 def verify(dealt: DataFrame, body: Callable, schema: str) -> DataFrame:
-    """Run ``body`` over each task of rows (root, i, j, part, node, ..., set), streamed in order of task."""
-    ordered = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    """Run ``body`` over each task of rows (TASK, ..., set), streamed in order of task."""
+    ordered = dealt.repartition(*TASK[:4]).sortWithinPartitions(*TASK[:4], "node")
     return ordered.mapInArrow(body, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from emberlog.runtime import broadcast_if_small, materialize
 
-from .clusters import Overlaps, as_sets, components, deal, task_groups, verify
+from .clusters import TASK, Overlaps, as_sets, components, deal, task_groups, verify
 from .common import flat, pick, place, slices
 from .words import mix, word_hashes
 
@@ -296,14 +296,14 @@ def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least:
 
     texts = docs.join(broadcast_if_small(materialize(wanted)), F.col("doc_id") == F.col("_doc")).select("text", "wanted")
     with_sets = texts.mapInArrow(sets, "node bigint, set array<bigint>")
-    tasks = deal(members, "size").select("root", "i", "j", "part", "node", F.col("at.doc").alias("doc"), F.col("at.line").alias("line"))
-    tasks = tasks.join(with_sets, "node").select("root", "i", "j", "part", "node", "doc", "line", "set")
+    tasks = deal(members, "size", 2.0).select(*TASK, F.col("at.doc").alias("doc"), F.col("at.line").alias("line"))
+    tasks = tasks.join(with_sets, "node").select(*TASK, "doc", "line", "set")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, i, j, part, node, doc, line, lists in task_groups(batches, 3):
+        for _, _, i, j, part, side, node, doc, line, lists in task_groups(batches, 4):
             ids, at = np.unique(node.to_numpy(), return_index=True)
             every = as_sets(lists)
-            index, side = Overlaps([every[k] for k in at]), part.to_numpy()[at]
+            index, part, side = Overlaps([every[k] for k in at]), part.to_numpy()[at], side.to_numpy()[at]
             docs_at, lines_at = doc.to_numpy()[at], line.to_numpy()[at]
             place_of = np.empty(len(ids), np.int64)
             by_place = np.lexsort((lines_at, docs_at))
@@ -311,9 +311,7 @@ def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least:
             cross = i[0].as_py() != j[0].as_py()
             out = []
             for k in range(len(ids)):
-                near = index.similar(k, num, den)
-                if cross:
-                    near = near[side[near] != side[k]]
+                near = index.partners(k, num, den, part, side, cross)
                 if len(near):
                     out.append((k, by_place[place_of[near].min()]))
             own, best = np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64)

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from emberlog.runtime import broadcast_if_small, materialize
 
-from .clusters import Forest, Overlaps, as_sets, components, deal, task_groups, verify
+from .clusters import TASK, Forest, Overlaps, as_sets, components, deal, task_groups, verify
 from .common import flat, pick, slices, without
 from .words import mix, word_hashes
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 RATIO = 1.25
 #: What the cost model takes for unrelated documents: the share of pairs that have much in common, and how much.
 ALIKE_SHARE, ALIKE = 1e-4, 0.5
@@ -228,7 +228,7 @@ def similar_sets(docs: DataFrame, shingle: int, num: int, den: int) -> tuple[Dat
     graph = components(candidate_edges(index_keys(docs, shingle, plan)))
     first = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     members = materialize(graph.join(first, "node"))
-    dealt = deal(members, "n")
+    dealt = deal(members, "n", 1.01 * den / num)
     dealt = materialize(dealt)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,19 +241,17 @@ def similar_sets(docs: DataFrame, shingle: int, num: int, den: int) -> tuple[Dat
     wanted = broadcast_if_small(members.select(F.col("rep"), "node"), 200_000)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "node")
     with_sets = texts.mapInArrow(sets, "node bigint, set array<bigint>")
-    tasks = dealt.select("root", "i", "j", "part", "node").join(with_sets, "node").select("root", "i", "j", "part", "node", "set")
+    tasks = dealt.select(*TASK).join(with_sets, "node").select(*TASK, "set")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for root, i, j, part, node, lists in task_groups(batches, 3):
+        for _, _, i, j, part, side, node, lists in task_groups(batches, 4):
             ids, at = np.unique(node.to_numpy(), return_index=True)
             every = as_sets(lists)
-            index, side = Overlaps([every[k] for k in at]), part.to_numpy()[at]
+            index, part, side = Overlaps([every[k] for k in at]), part.to_numpy()[at], side.to_numpy()[at]
             cross = i[0].as_py() != j[0].as_py()
             forest, links = Forest(len(ids)), np.zeros(len(ids), np.int64)
             for k in range(len(ids)):
-                near = index.similar(k, num, den)
-                if cross:
-                    near = near[side[near] != side[k]]
+                near = index.partners(k, num, den, part, side, cross)
                 links[k] = len(near)
                 for other in near:
                     forest.link(k, int(other))
