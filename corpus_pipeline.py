@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture by source, tempered towards small sources, in the order of its slots."""
+    """All documents, mixed by source with weights tempered towards small sources, in the order of their slots."""
     return mixing.mixture(docs)
 
 

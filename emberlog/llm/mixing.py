@@ -159,9 +159,13 @@ def mix_sources(
 
 
 def mixture(docs: DataFrame, weights: Mapping[str | None, float] | None = None, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents of the mixture with all their columns, sorted by slot over the partitions."""
+    """All documents of sources with a share, with all their columns, sorted by slot over the partitions.
+
+    Once a source has run dry the others go on in the order of their slots, so no document goes. Sources that
+    ``weights`` lacks, or has at 0, are left out.
+    """
     rows = plan(_prepared(docs, "doc_id", "text", "source"), weights, alpha, block_bytes, RESOLUTION)
-    ordered = rows.where("_in_mix").repartitionByRange("_slot", "_hash").sortWithinPartitions("_slot", "_hash", "_id")
+    ordered = rows.where("_slot IS NOT NULL").repartitionByRange("_slot", "_hash").sortWithinPartitions("_slot", "_hash", "_id")
     return ordered.select(*[f"_c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 

@@ -96,6 +96,17 @@ def test_single_source_is_kept_whole(spark):
     assert mixing.mixture(frame(spark, rows)).count() == 30
 
 
+def test_mixture_goes_on_when_a_source_has_run_dry(spark):
+    """One stray document of a source of its own takes no other document out of the mixture."""
+    rows = [(i, "w" * 900, "en", "ab"[i % 2]) for i in range(400)] + [(1000, "stray", "en", "c"), (1001, "stray", "en", None)]
+    docs = frame(spark, rows, True)
+    got = [r[0] for r in mixing.mixture(docs, block_bytes=1000).collect()]
+    assert sorted(got) == sorted(r[0] for r in rows)
+    slot = {r.doc_id: r.slot for r in mixing.mix_sources(docs, block_bytes=1000).collect()}
+    assert [slot[d] for d in got] == sorted(slot.values())
+    assert [r[0] for r in mixing.mixture(docs, {"c": 1.0}).collect()] == [1000]
+
+
 def test_pipeline_stages_against_brute_force(spark):
     """Each stage on what its predecessor kept, held against a plain version of it."""
     docs = sf_documents(spark)
