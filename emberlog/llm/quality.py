@@ -17,13 +17,14 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 NOT_SYMBOL = r"[^#*$%&|<>]+"
 LEAST_WORDS = 50
 
-#: Transformed statistics, and the least standard deviation that an estimate may have in each of them.
-VECTOR = {"v_length": 0.25, "v_word": 0.05, "v_symbols": 0.15, "v_lines": 0.15, "v_repeats": 0.15}
+#: Transformed statistics, and the least standard deviation that an estimate may have in each of them: wide where
+#: clean documents differ much (length, a repeated line in a short text), narrow where junk stands out (symbols).
+VECTOR = {"v_length": 1.2, "v_word": 0.06, "v_symbols": 0.1, "v_lines": 0.2, "v_repeats": 0.2}
 SUBSET = 0.75
 STEPS = 4
 LEAST_GROUP = 100
-#: Ordinary documents have longer tails than a normal law, so the cut lies far out.
-TAIL = 1e-12
+#: A usual cut; the floors of VECTOR keep clean documents within it.
+TAIL = 1e-3
 
 
 def chi2_cdf(x: float, k: int) -> float:

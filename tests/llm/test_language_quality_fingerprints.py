@@ -106,6 +106,18 @@ def test_quality_finds_outliers_of_their_group(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[1000 + i] for i in range(30))
 
 
+def test_quality_takes_cut_up_prose_and_leaves_repeated_lines(spark):
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, text(rng.randrange(80, 300)), "en", "s") for i in range(300)]
+    rows += [(1000 + i, text(rng.randrange(60, 200)).replace(" ", " | "), "en", "s") for i in range(20)]
+    rows += [(2000 + i, "\n".join([text(60), line := text(9), line]), "en", "s") for i in range(20)]
+    kept = {r.doc_id: r.kept for r in quality.quality(frame(spark, rows)).collect()}
+    assert not any(kept[1000 + i] for i in range(20))
+    assert all(kept[i] for i in range(300)) and all(kept[2000 + i] for i in range(20))
+
+
 def test_chi2():
     assert abs(quality.chi2_cdf(quality.chi2_quantile(0.95, 5), 5) - 0.95) < 1e-9
     assert abs(quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
