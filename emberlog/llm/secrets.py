@@ -24,11 +24,12 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits a character over a window of 20 from which a string of the class counts as random.
 THRESHOLDS = {"digits": 3.1, "hex": 3.2, "letters": 4.05, "alnum": 3.8, "base64": 3.8}
-#: Strings that look random and are none: placeholders, counting runs, identifiers made of words, UUIDs of examples.
+#: Strings that look random and are none: placeholders (with the value given to a ``your_`` name), counting runs,
+#: identifiers made of words. Only the stretch that a pattern matches is suppressed.
 ALLOW = (
-    r"(?i)example|sample|placeholder|changeme|dummy|your[_-]",
+    r"(?i)example|sample|placeholder|changeme|dummy|(?<![A-Za-z0-9])your[_-](?:[A-Za-z_-]+=[A-Za-z0-9]+)?",
     r"(?i)abcdefghij|0123456789|qwertyuiop",
-    r"^[A-Za-z]+(?:[-_/=+][A-Za-z]+)+$",
+    r"^[-_/=+]*[A-Za-z]{1,19}(?:[-_/=+]+[A-Za-z]{1,19})+[-_/=+]*$",
     r"^[-_=+/]*(.)\1*[-_=+/]*$",
 )
 
@@ -59,35 +60,68 @@ class _Scan:
             return "letters"
         return "alnum" if text.isalnum() else "base64"
 
+    def stretches(self, text: str) -> list[tuple[int, int]]:
+        """What is left of a candidate without the stretches that the allow-list matches, if a window fits in."""
+        parts = [(0, len(text))]
+        for p in self.allow:
+            left = []
+            for a, b in parts:
+                start = a
+                for m in p.finditer(text[a:b]):
+                    left.append((start, a + m.start()))
+                    start = a + m.end()
+                left.append((start, b))
+            parts = left
+        return [(a, b) for a, b in parts if b - a >= self.window]
+
     def entropy(self, text: str) -> list[tuple[int, int, int]]:
-        """Maximal runs covered by windows at or above the threshold of their candidate's class."""
+        """Maximal runs covered by windows at or above their threshold, see :func:`scan_secrets`."""
         out: list[tuple[int, int, int]] = []
-        w, terms = self.window, self.terms
         for m in self.candidate.finditer(text):
-            s = m[0]
-            if any(p.search(s) for p in self.allow):
+            for a, b in self.stretches(m[0]):
+                out += [(m.start() + a + i, 3, m.start() + a + j) for i, j in self.runs(m[0][a:b])]
+        return out
+
+    def runs(self, s: str) -> list[tuple[int, int]]:
+        """Runs of windows at or above the threshold of their own class, if digits or hex, or of the class of ``s``."""
+        out: list[tuple[int, int]] = []
+        w, terms = self.window, self.terms
+        # Entropy of a window is log2(w) - sum(n log2 n) / w; the sum changes in two terms for each step.
+        most = {k: (math.log2(w) - x) * w + 1e-9 for k, x in self.thresholds.items()}
+        own = most[self.kind_of(s)]
+        counts: dict[str, int] = {}
+        total, first, stop = 0.0, -1, -1
+        no_digit = no_lower = no_upper = -1  # the last characters that are not of the class
+        for i, c in enumerate(s):
+            if not "0" <= c <= "9":
+                no_digit = i
+                if not "a" <= c <= "f":
+                    no_lower = i
+                if not "A" <= c <= "F":
+                    no_upper = i
+            n = counts.get(c, 0)
+            counts[c] = n + 1
+            total += terms[n + 1] - terms[n]
+            if i >= w:
+                gone = s[i - w]
+                n = counts[gone]
+                counts[gone] = n - 1
+                total += terms[n - 1] - terms[n]
+            if i < w - 1:
                 continue
-            # Entropy of a window is log2(w) - sum(n log2 n) / w; the sum changes in two terms for each step.
-            most = (math.log2(w) - self.thresholds[self.kind_of(s)]) * w + 1e-9
-            counts: dict[str, int] = {}
-            total, first, stop = 0.0, -1, -1
-            for i, c in enumerate(s):
-                n = counts.get(c, 0)
-                counts[c] = n + 1
-                total += terms[n + 1] - terms[n]
-                if i >= w:
-                    gone = s[i - w]
-                    n = counts[gone]
-                    counts[gone] = n - 1
-                    total += terms[n - 1] - terms[n]
-                if i >= w - 1 and total <= most:
-                    if i - w + 1 > stop:
-                        if first >= 0:
-                            out.append((m.start() + first, 3, m.start() + stop))
-                        first = i - w + 1
-                    stop = i + 1
-            if first >= 0:
-                out.append((m.start() + first, 3, m.start() + stop))
+            limit = own
+            if no_digit <= i - w:
+                limit = max(limit, most["digits"])
+            elif min(no_lower, no_upper) <= i - w:
+                limit = max(limit, most["hex"])
+            if total <= limit:
+                if i - w + 1 > stop:
+                    if first >= 0:
+                        out.append((first, stop))
+                    first = i - w + 1
+                stop = i + 1
+        if first >= 0:
+            out.append((first, stop))
         return out
 
 
@@ -129,7 +163,9 @@ def scan_secrets(
 
     Kinds are the three base patterns (0 assign, 1 access, 2 hex; leftmost matches that do not overlap, too
     short ones dropped) and 3 entropy: runs of candidate characters in which each window of ``window`` characters
-    reaches the entropy set for the candidate's character class, unless the candidate matches the allow-list.
+    reaches the entropy set for its character class: that of digits or hex if the window holds nothing else, or that
+    of the candidate. Stretches of the candidate that the allow-list matches are cut out, and what is left on either
+    side is scanned by itself.
     Offsets are code points, ends exclusive. Texts that cannot hold a match are told apart by two vector passes
     over their bytes. No shuffle takes place.
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -174,6 +175,22 @@ def test_entropy_finds_random_strings_and_allows_others(spark):
     assert all("identifier" not in v and "abcdefghij" not in v for v in values(2))
 
 
+def test_harmless_words_hide_no_random_strings():
+    scan, rng = secrets._Scan(20, secrets.THRESHOLDS, secrets.ALLOW), random.Random(4)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    found = lambda t: bool(scan.entropy(t))
+    for head in ("sample_key=", "/example/files/", "dummy-", "0123456789/", "abcdefghij_"):
+        assert sum(found(head + make(alnum, 40)) for _ in range(200)) > 190, head
+    strings = [make("0123456789abcdef", 24) for _ in range(200)]
+    bare = sum(map(found, strings))
+    assert bare > 170
+    for head in ("id_", "key/", "session-"):
+        assert sum(found(head + x) for x in strings) >= bare, head
+    for text in ("/example/files/of-some-long-path-of-words/", "placeholder_value_for_the_sample", "x=0123456789abcdefghij"):
+        assert not found(text), text
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert token_counts.token_counts(empty).count() == 0
