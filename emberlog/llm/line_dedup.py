@@ -322,6 +322,14 @@ def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least:
     return found.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("at"))
 
 
+def least_near(least: int, num: int, den: int) -> int | None:
+    """The least size of a set, ``least`` or more, that a different set can be similar to; None without any.
+
+    The most similar set has one word more: size / (size + 1) has to reach num / den.
+    """
+    return max(least, -(-num // (den - num))) if num < den else None
+
+
 def repeated_lines(
     docs: DataFrame, num: int = 80, den: int = 100, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -329,7 +337,8 @@ def repeated_lines(
 
     Lines are split at newlines; words are compared with A-Z as a-z. A line with ``least_words`` different words or
     more is removed if an earlier line, by (document id, line number), has a word set of Jaccard similarity
-    num / den or more, whether or not that line is removed itself. Shorter lines stay.
+    num / den or more, whether or not that line is removed itself. Shorter lines stay; with ``least_words`` 1, as
+    the query and the pipeline have it, no line with a word is exempt.
 
     Equal word sets are one node, whose earliest place decides; near sets are found by prefix tokens in order of
     rarity with length, positional and parity filters, grouped, and verified exactly in tasks of bounded size.
@@ -345,11 +354,14 @@ def repeated_lines(
     lines = lines.select("doc", F.col("_l.numbers").alias("line"), F.col("_l.nodes").alias("node"))
     at = F.struct("doc", "line")
     first = materialize(lines.groupBy("node").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n")))
-    codes = rarity_codes(both.where(F.col("block").isNotNull()))
-    edges = candidate_edges(prefix_rows(rows, least_words, num, den, codes), num, den)
-    near = earliest_similar(rows, first.select("node", "at", F.lit(64).alias("size")), edges, least_words, num, den)
-    near = materialize(near)
-    best = first.join(near.select("node", F.col("at").alias("_near")), "node", "left")
+    at_least = least_near(least_words, num, den)
+    if at_least is None:
+        best = first.withColumn("_near", F.lit(None).cast(first.schema["at"].dataType))
+    else:
+        codes = rarity_codes(both.where(F.col("block").isNotNull()))
+        edges = candidate_edges(prefix_rows(rows, at_least, num, den, codes), num, den)
+        near = earliest_similar(rows, first.select("node", "at", F.lit(64).alias("size")), edges, at_least, num, den)
+        best = first.join(materialize(near).select("node", F.col("at").alias("_near")), "node", "left")
     best = best.where((F.col("n") > 1) | F.col("_near").isNotNull()).select("node", F.least("at", "_near").alias("_best"))
     gone = lines.join(best, "node").where(at > F.col("_best")).groupBy("doc")
     gone = gone.agg(F.array_sort(F.collect_set("line")).alias("removed"))

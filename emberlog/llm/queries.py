@@ -49,7 +49,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(read_documents(spark, sf_dir))
+    return line_dedup.repeated_lines(read_documents(spark, sf_dir), least_words=1)
 
 
 QUERIES: dict[str, Query] = {

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from emberlog.llm import clusters, line_dedup, queries
 
 from .helpers import SF, frame, odd_texts, sf_documents
@@ -56,6 +57,24 @@ def test_against_all_pairs(spark, monkeypatch, num, hot):
     assert all(r.n_removed == len(r.removed) for r in got)
 
 
+@pytest.mark.parametrize("num,den", [(80, 100), (1, 1)])
+def test_short_lines_against_all_pairs(spark, num, den):
+    rng = random.Random(7)
+    short = ["a", "A", "of the", "the of the", "a b c d", "a b c d e", "a b c d f", "x y z", "x y", "--- ---", " ", ""]
+    rows = [(i, "\n".join(rng.choice(short) for _ in range(rng.randrange(1, 6)))) for i in range(12)]
+    got = line_dedup.repeated_lines(frame(spark, rows), num, den, least_words=1).collect()
+    assert {r.doc_id: (r.n_lines, r.removed) for r in got} == brute(rows, num, den, 1)
+
+
+def test_pipeline_and_query_remove_short_repeats(spark, tmp_path):
+    docs = frame(spark, [(1, "short line\nown words of one"), (2, "short line\nother words of two"), (3, "Short line")])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op10_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.removed for r in got} == {1: [], 2: [0], 3: [0]}
+    kept = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in kept} == {1: "short line\nown words of one", 2: "other words of two"}
+
+
 def test_split_clusters(spark, monkeypatch):
     monkeypatch.setattr(clusters, "MEMBERS", 6)
     rng = random.Random(5)
