@@ -11,10 +11,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.runtime import broadcast_if_small
+from emberlog.runtime import broadcast_if_small, materialize
 
 SLICE_BYTES = 2 << 20
 
@@ -56,12 +56,26 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return numbered.select(*[F.col(f"_c{place(columns, n)}").alias(n) for n in names])
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in the one column of ``gone``; column names may clash."""
-    numbered = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    key = F.col(f"_c{place(docs.columns, id_col)}")
-    side = broadcast_if_small(gone.toDF("_gone"), 1_000_000)
-    return numbered.join(side, key.eqNullSafe(F.col("_gone")), "left_anti").toDF(*docs.columns)
+def row_key(id_column: Column, text: Column) -> Column:
+    """What tells rows apart: id and text, by hash. Only copies share a key; keys without an id come last."""
+    return F.struct(id_column.isNull().alias("absent"), id_column.alias("id"), F.xxhash64(text).alias("hash"))
+
+
+def mark_copies(rows: DataFrame, keys: list[str], shared: DataFrame) -> DataFrame:
+    """Adds ``_again``: true for all rows but one of each key in ``shared``, false for the others.
+
+    Only rows of those keys are stored, numbered and joined with the least number of their key; none is gathered.
+    """
+    if shared.isEmpty():
+        return rows.withColumn("_again", F.lit(False))
+    on = shared.toDF(*[f"_s{i}" for i in range(len(keys))])
+    same = [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(keys)]
+    side = broadcast_if_small(on, 200_000)
+    many = materialize(rows.join(side, same, "left_semi").withColumn("_row", F.monotonically_increasing_id()))
+    least = many.groupBy(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)]).agg(F.min("_row").alias("_first"))
+    many = many.join(broadcast_if_small(materialize(least), 200_000), same).withColumn("_again", F.col("_row") > F.col("_first"))
+    rest = rows.join(side, same, "left_anti").withColumn("_again", F.lit(False))
+    return rest.unionByName(many.select(*rest.columns))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -8,13 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.runtime import broadcast_if_small, materialize
 
 from .clusters import TASK, Overlaps, as_sets, components, deal, task_groups, verify
-from .common import flat, pick, place, slices
+from .common import flat, mark_copies, pick, place, slices
 from .words import mix, word_hashes
 
 BUCKETS = 1 << 22
@@ -90,7 +90,7 @@ def read_lines(texts: pa.Array, least: int) -> Lines:
 def numbered_lines(docs: DataFrame, least: int) -> DataFrame:
     """One scan for two kinds of rows: the lines of each document, and counts of the tokens of each task.
 
-    Document rows hold doc_id, n_lines, and the numbers and set ids of eligible lines (``nodes``); the others a
+    Document rows hold doc_id, hash, n_lines, and the numbers and set ids of eligible lines (``nodes``); the others a
     ``block`` of the counts in BUCKETS buckets.
     """
 
@@ -102,6 +102,7 @@ def numbered_lines(docs: DataFrame, least: int) -> DataFrame:
             cut = np.searchsorted(got.doc, np.arange(part.num_rows + 1)).astype(np.int32)
             arrays = [
                 part.column(0),
+                part.column(2),
                 pa.array(got.in_doc, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(cut), pa.array(got.number.astype(np.int32))),
                 pa.ListArray.from_arrays(pa.array(cut), pa.array(got.node)),
@@ -112,11 +113,11 @@ def numbered_lines(docs: DataFrame, least: int) -> DataFrame:
         blocks = total.reshape(-1, BLOCK)
         some = np.flatnonzero(blocks.any(axis=1))
         packed = [zlib.compress(blocks[b].astype("<i8").tobytes(), 1) for b in some]
-        nothing = [pa.nulls(len(some), k) for k in (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+        nothing = [pa.nulls(len(some), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    names = ["doc_id", "n_lines", "numbers", "nodes", "block", "counts"]
-    return docs.mapInArrow(run, "doc_id bigint, n_lines bigint, numbers array<int>, nodes array<bigint>, block int, counts binary")
+    names = ["doc_id", "hash", "n_lines", "numbers", "nodes", "block", "counts"]
+    return docs.mapInArrow(run, "doc_id bigint, hash bigint, n_lines bigint, numbers array<int>, nodes array<bigint>, block int, counts binary")
 
 
 def rarity_codes(counted: DataFrame) -> np.ndarray:
@@ -284,7 +285,7 @@ def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least:
     ``first`` holds (node, at, size) with the earliest place of each set.
     """
     members = materialize(components(edges).join(first, "node"))
-    wanted = members.groupBy(F.col("at.doc").alias("_doc")).agg(F.collect_list("node").alias("wanted"))
+    wanted = members.groupBy(F.col("at.doc").alias("_doc"), F.col("at.hash").alias("_text")).agg(F.collect_list("node").alias("wanted"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0, SLICE):
@@ -294,19 +295,20 @@ def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least:
             values = [got.tokens[got.first[k] : got.first[k] + got.size[k]].view(np.int64) for k in rows]
             yield pa.RecordBatch.from_arrays([pa.array(got.node[rows]), pa.array(values, pa.list_(pa.int64()))], ["node", "set"])
 
-    texts = docs.join(broadcast_if_small(materialize(wanted)), F.col("doc_id") == F.col("_doc")).select("text", "wanted")
+    same = (F.col("doc_id") == F.col("_doc")) & (F.col("hash") == F.col("_text"))
+    texts = docs.join(broadcast_if_small(materialize(wanted)), same).select("text", "wanted")
     with_sets = texts.mapInArrow(sets, "node bigint, set array<bigint>")
-    tasks = deal(members, "size", 2.0).select(*TASK, F.col("at.doc").alias("doc"), F.col("at.line").alias("line"))
-    tasks = tasks.join(with_sets, "node").select(*TASK, "doc", "line", "set")
+    tasks = deal(members, "size", 2.0).select(*TASK, "at.doc", "at.hash", "at.line")
+    tasks = tasks.join(with_sets, "node").select(*TASK, "doc", "hash", "line", "set")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, i, j, part, side, node, doc, line, lists in task_groups(batches, 4):
+        for _, _, i, j, part, side, node, doc, text, line, lists in task_groups(batches, 4):
             ids, at = np.unique(node.to_numpy(), return_index=True)
             every = as_sets(lists)
             index, part, side = Overlaps([every[k] for k in at]), part.to_numpy()[at], side.to_numpy()[at]
-            docs_at, lines_at = doc.to_numpy()[at], line.to_numpy()[at]
+            docs_at, texts_at, lines_at = doc.to_numpy()[at], text.to_numpy()[at], line.to_numpy()[at]
             place_of = np.empty(len(ids), np.int64)
-            by_place = np.lexsort((lines_at, docs_at))
+            by_place = np.lexsort((lines_at, texts_at, docs_at))
             place_of[by_place] = np.arange(len(ids))
             cross = i[0].as_py() != j[0].as_py()
             out = []
@@ -315,11 +317,11 @@ def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least:
                 if len(near):
                     out.append((k, by_place[place_of[near].min()]))
             own, best = np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64)
-            arrays = [pa.array(ids[own]), pa.array(docs_at[best]), pa.array(lines_at[best])]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "doc", "line"])
+            arrays = [pa.array(ids[own]), pa.array(docs_at[best]), pa.array(texts_at[best]), pa.array(lines_at[best])]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "doc", "hash", "line"])
 
-    found = verify(tasks, body, "node bigint, doc bigint, line int")
-    return found.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("at"))
+    found = verify(tasks, body, "node bigint, doc bigint, hash bigint, line int")
+    return found.groupBy("node").agg(F.min(F.struct("doc", "hash", "line")).alias("at"))
 
 
 def least_near(least: int, num: int, den: int) -> int | None:
@@ -343,16 +345,42 @@ def repeated_lines(
     Equal word sets are one node, whose earliest place decides; near sets are found by prefix tokens in order of
     rarity with length, positional and parity filters, grouped, and verified exactly in tasks of bounded size.
 
-    Null and empty texts have no lines. Documents with a null id come first. Rows with equal ids are taken as one
-    document: a line does not remove its equal at the same place. An empty table gives an empty result. Other
-    columns are ignored. Ids are integers.
+    Null and empty texts have no lines. Documents with a null id come first. Rows with equal ids, or without, are
+    documents each, in order of a hash of their text; of identical rows one comes first. An empty table gives an
+    empty result. Other columns are ignored. Ids are integers.
     """
-    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
+    found, gone = removals(rows, num, den, least_words)
+    found = mark_copies(found, ["doc_id", "hash"], shared_keys(found))
+    joined = found.join(gone, (F.col("doc_id") == F.col("doc")) & (F.col("hash") == F.col("_text")), "left")
+    removed = F.when(F.col("_again"), F.col("numbers")).otherwise(F.coalesce("removed", F.array().cast("array<int>")))
+    return joined.select(
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
+        "n_lines",
+        F.size(removed).cast("bigint").alias("n_removed"),
+        removed.alias("removed"),
+    )
+
+
+def keyed(id_column: Column, text: Column) -> dict[str, Column]:
+    return {"doc_id": F.coalesce(id_column.cast("bigint"), F.lit(NO_ID)), "hash": F.xxhash64(text)}
+
+
+def shared_keys(found: DataFrame) -> DataFrame:
+    """(doc_id, hash) of identical rows with lines to compare."""
+    counts = found.where(F.size("numbers") > 0).groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(counts.where("n > 1").select("doc_id", "hash"))
+
+
+def removals(rows: DataFrame, num: int, den: int, least_words: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with their lines, and (doc, _text, removed): the repeated lines of each id and text hash."""
+    key = keyed(F.col("doc_id"), F.col("text"))
+    rows = rows.select(key["doc_id"].alias("doc_id"), "text", key["hash"].alias("hash"))
     both = materialize(numbered_lines(rows, least_words))
-    found = both.where(F.col("block").isNull()).select("doc_id", "n_lines", "numbers", "nodes")
-    lines = found.select(F.col("doc_id").alias("doc"), F.explode(F.arrays_zip("numbers", "nodes")).alias("_l"))
-    lines = lines.select("doc", F.col("_l.numbers").alias("line"), F.col("_l.nodes").alias("node"))
-    at = F.struct("doc", "line")
+    found = both.where(F.col("block").isNull()).select("doc_id", "hash", "n_lines", "numbers", "nodes")
+    lines = found.select(F.col("doc_id").alias("doc"), "hash", F.explode(F.arrays_zip("numbers", "nodes")).alias("_l"))
+    lines = lines.select("doc", "hash", F.col("_l.numbers").alias("line"), F.col("_l.nodes").alias("node"))
+    at = F.struct("doc", "hash", "line")
     first = materialize(lines.groupBy("node").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n")))
     at_least = least_near(least_words, num, den)
     if at_least is None:
@@ -363,16 +391,8 @@ def repeated_lines(
         near = earliest_similar(rows, first.select("node", "at", F.lit(64).alias("size")), edges, at_least, num, den)
         best = first.join(materialize(near).select("node", F.col("at").alias("_near")), "node", "left")
     best = best.where((F.col("n") > 1) | F.col("_near").isNotNull()).select("node", F.least("at", "_near").alias("_best"))
-    gone = lines.join(best, "node").where(at > F.col("_best")).groupBy("doc")
-    gone = gone.agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    joined = found.join(gone, F.col("doc_id") == F.col("doc"), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return joined.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
-        "n_lines",
-        F.size(removed).cast("bigint").alias("n_removed"),
-        removed.alias("removed"),
-    )
+    gone = lines.join(best, "node").where(at > F.col("_best")).groupBy("doc", F.col("hash").alias("_text"))
+    return found, gone.agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def drop_repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -382,11 +402,21 @@ def drop_repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, least_wo
     words among them, stay as they are, with all columns.
     """
     names = list(docs.columns)
-    removed = repeated_lines(pick(docs, "doc_id", "text"), num, den, least_words)
-    removed = materialize(removed.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("removed").alias("_gone")).distinct())
     numbered = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    key, text = F.col(f"_c{place(names, 'doc_id')}"), F.col(f"_c{place(names, 'text')}")
-    joined = numbered.join(broadcast_if_small(removed, 50_000), key.eqNullSafe(F.col("_id")), "left")
+    text = F.col(f"_c{place(names, 'text')}")
+    key = keyed(F.col(f"_c{place(names, 'doc_id')}"), text)
+    numbered = numbered.withColumns({"_id": key["doc_id"], "_hash": key["hash"]})
+    found, gone = removals(pick(docs, "doc_id", "text"), num, den, least_words)
+    shared = shared_keys(found)
+    numbered = mark_copies(numbered, ["_id", "_hash"], shared)
+    gone = materialize(gone.toDF("_doc", "_text", "_lines"))
+    joined = numbered.join(broadcast_if_small(gone, 50_000), (F.col("_id") == F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
+    if not shared.isEmpty():  # of identical rows all but one lose every line that was compared
+        every = found.join(broadcast_if_small(shared, 200_000), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
+        every = every.select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h"), F.col("numbers").alias("_every"))
+        joined = joined.join(every, F.col("_again") & (F.col("_id") == F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
+        joined = joined.withColumn("_lines", F.coalesce("_every", "_lines"))
+    joined = joined.withColumnRenamed("_lines", "_gone")
     left = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
     changed = F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(text)
     joined = joined.withColumn("_new", changed)

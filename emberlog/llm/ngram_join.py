@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from emberlog.runtime import broadcast_if_small, materialize
 
 from .clusters import TASK, Forest, Overlaps, as_sets, components, deal, task_groups, verify
-from .common import flat, pick, slices, without
+from .common import flat, mark_copies, pick, place, row_key, slices
 from .words import mix, word_hashes
 
 SLICE = 2 << 20
@@ -297,9 +297,17 @@ def ngram_join(
 def keep_firsts(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents that are the first of their component, or in none; all columns stay as they are.
 
-    Rows that share the first's id and text are copies of it: one of them stays. Rows without words stay.
+    Rows are told apart by id and text, so rows without an id, or with the id of another row, are judged each. Of
+    rows that share the first's id and text one stays. Rows without words stay.
     """
-    rows = pick(docs, "doc_id", "text")
-    joined = ngram_join(rows, shingle, num, den)
-    gone = joined.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return without(docs, materialize(gone))
+    names = list(docs.columns)
+    numbered = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    key = row_key(F.col(f"_c{place(names, 'doc_id')}"), F.col(f"_c{place(names, 'text')}"))
+    numbered = numbered.withColumn("_key", key)
+    joined = ngram_join(numbered.select(F.col("_key").alias("doc_id"), F.col(f"_c{place(names, 'text')}").alias("text")), shingle, num, den)
+    judged = joined.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_gone"), (F.col("doc_id") == F.col("component_id")).alias("_first"))
+    judged = materialize(judged.agg(F.count(F.lit(1)).alias("n")).where("NOT _first OR n > 1"))
+    gone = broadcast_if_small(judged.where("NOT _first").select("_gone"), 500_000)
+    kept = numbered.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    kept = mark_copies(kept, ["_key"], judged.where("_first").select("_gone")).where("NOT _again")
+    return kept.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)

@@ -75,6 +75,20 @@ def test_pipeline_and_query_remove_short_repeats(spark, tmp_path):
     assert {r.doc_id: r.text for r in kept} == {1: "short line\nown words of one", 2: "other words of two"}
 
 
+def test_rows_without_an_id_and_with_one_id(spark):
+    """Each row is judged by itself; of identical rows one stays."""
+    one, two, three = "first words stand here alone\nsame line for everyone here", "second text\nother words of two here now", "same line for everyone here\nwords only three has got"
+    rows = [(None, one), (None, two), (None, three), (5, "of five"), (5, "another of id five"), (6, "twice the same"), (6, "twice the same")]
+    kept = sorted(r.text for r in line_dedup.drop_repeated_lines(frame(spark, rows), least_words=1).collect())
+    # One of the two null rows that share a line loses it, whichever comes first by hash.
+    either = [[one, "words only three has got"], ["first words stand here alone", three]]
+    rest = [two, "of five", "another of id five", "twice the same"]
+    assert kept in [sorted(x + rest) for x in either]
+    got = line_dedup.repeated_lines(frame(spark, rows), least_words=1).collect()
+    assert sorted(r.removed for r in got if r.doc_id == 6) == [[], [0]]
+    assert sum(r.n_removed for r in got) == 2
+
+
 def test_split_clusters(spark, monkeypatch):
     monkeypatch.setattr(clusters, "MEMBERS", 6)
     rng = random.Random(5)

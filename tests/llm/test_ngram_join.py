@@ -147,6 +147,15 @@ def test_components(spark):
     assert {r.node: r.root for r in got} == {n: root(n) for n in ends}
 
 
+def test_firsts_of_rows_without_an_id_and_with_one_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (7, text(1)), (7, text(4)), (8, text(5)), (8, text(5))]
+    rows += [(9, None), (9, None), (None, "")]
+    kept = ngram_join.keep_firsts(frame(spark, rows, True)).collect()
+    want = [(1, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (8, text(5)), (9, None), (9, None), (None, "")]
+    assert sorted(((r[0], r[1]) for r in kept), key=str) == sorted(want, key=str)
+
+
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in sf_documents(spark).collect()]
     got = queries.op9_ngram_join(spark, SF).collect()
