@@ -107,3 +107,19 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if data is None or starts[-1] == starts[0]:
         return np.zeros(0, np.uint8), np.zeros(len(whole) + 1, np.int64)
     return np.frombuffer(data, dtype=np.uint8)[starts[0] : starts[-1]], starts - starts[0]
+
+
+def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the 0-based place of each row in the whole order, without a window over all rows.
+
+    A range sort is stored, and each stored partition gets the number of rows before it. The sorted rows are stored.
+    """
+    stored = materialize(df.orderBy(*order).withColumn("_serial", F.monotonically_increasing_id()))
+    part = F.shiftright("_serial", 33)
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    before = np.concatenate([[0], np.cumsum([r.n for r in sizes])]).tolist()
+    starts = [(r._part, b) for r, b in zip(sizes, before)]
+    side = df.sparkSession.createDataFrame(starts, "_part bigint, _before bigint")
+    placed = stored.withColumn("_part", part).join(broadcast_if_small(side), "_part")
+    inside = F.col("_serial").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(name, F.col("_before") + inside).drop("_part", "_serial", "_before")

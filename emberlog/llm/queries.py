@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, line_dedup, mixing, ngram_join, packing, quality, secrets, suffix_dedup, token_counts
+from . import (
+    fingerprints,
+    language,
+    line_dedup,
+    merkle,
+    mixing,
+    ngram_join,
+    oracles,
+    packing,
+    quality,
+    resampling,
+    secrets,
+    suffix_dedup,
+    token_counts,
+    token_files,
+)
 from .common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +67,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(read_documents(spark, sf_dir), least_words=1)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return resampling.resample(read_documents(spark, sf_dir), benchmark)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(read_documents(spark, sf_dir))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -65,7 +93,13 @@ QUERIES: dict[str, Query] = {
         op8_quality,
         op9_ngram_join,
         op10_line_dedup,
+        op11_resampling,
+        op12_merkle_manifest,
+        op13_token_files,
     )
 }
 #: DuckDB twins, where SQL can express the operator on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_resampling": oracles.RESAMPLING,
+    "op12_merkle_manifest": oracles.MERKLE,
+}
