@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window
 from emberlog.runtime import broadcast_if_small, materialize, scratch_path
 
 from .common import pick, slices
+from .tokens import _byte_of_char
 
 MAX_BITS = 18
 BLOCK_IDS = 512
@@ -26,6 +28,7 @@ RANGE_BYTES = 64 << 20
 KEEP_CHARS = 48
 _HEAD = struct.Struct("<4sIIIQQII")
 _MAGIC = b"EHUF"
+_STAND_IN = {b: c for c, b in _byte_of_char().items()}
 
 
 def default_vocabulary() -> str:
@@ -34,12 +37,40 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Memo:
+    """Values by key in two generations: when the younger one is full, the older one goes."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation has; those of the older one become young."""
+        out = []
+        for key in keys.difference(self.young):
+            found = self.old.get(key)
+            if found is None:
+                out.append(key)
+            else:
+                self.young[key] = found
+        return out
+
+
+#: Fixed value: the pre-token rule of the word vocabulary, as its file states it.
+_WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: One run of Latin letters, then one of marks without the apostrophe: two pre-tokens under that rule.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+
+
 class IdEncoder:
-    """Ids of whole texts as the ``tokenizers`` library gives them, packed as little-endian integers of ``width`` bytes.
+    """Ids of whole texts as the ``tokenizers`` library gives them, packed as little-endian integers.
 
     A vocabulary that drops white space encodes each stretch between blanks and line ends on its own, so each
-    distinct stretch is encoded once and remembered; the memory is emptied when ``limit`` stretches are in it.
-    Other vocabularies encode whole texts.
+    distinct stretch is encoded once and remembered. Stretches of Latin letters and marks go to the library's model
+    pre-token by pre-token, all others through its whole chain. Other vocabularies encode whole texts.
     """
 
     def __init__(self, path: str, limit: int = 200_000) -> None:
@@ -48,29 +79,50 @@ class IdEncoder:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.known: dict[str, bytes] = {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.stretches, self.pieces = Memo(limit), Memo(limit)
         names = [t["content"] for t in spec["added_tokens"]]
         stripped = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
-        self.by_words = bool(spec["model"].get("end_of_word_suffix")) and not stripped and not any(" " in n or "\n" in n for n in names)
+        rules = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        same_rule = rules == [_WORD_RULE, None] and [x["type"] for x in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+        self.by_words = same_rule and not stripped and not any(" " in n or "\n" in n for n in names)
+        self.stand_in = str.maketrans({chr(b): "".join(_STAND_IN[x] for x in chr(b).encode()) for b in range(0xC0, 0x100)})
 
     def batch(self, texts: list[str], kind: np.dtype) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, kind).tobytes() for e in found]
 
+    def fresh(self, stretches: list[str], kind: np.dtype) -> dict[str, bytes]:
+        """Ids of stretches that are not known yet."""
+        plain, other = {}, []
+        for stretch in stretches:
+            m = _PLAIN.fullmatch(stretch)
+            if m is None:
+                other.append(stretch)
+            else:
+                plain[stretch] = (m[1].lower(), m[2])
+        parts = {part for pair in plain.values() for part in pair if part}
+        tokenize = self.tokenizer.model.tokenize
+        for part in self.pieces.missing(parts):
+            self.pieces.young[part] = np.array([t.id for t in tokenize(part.translate(self.stand_in))], kind).tobytes()
+        known = self.pieces.young
+        out = {s: (known[a] if a else b"") + (known[b] if b else b"") for s, (a, b) in plain.items()}
+        out.update(zip(other, self.batch(other, kind)))
+        return out
+
     def encode(self, texts: list[str], kind: np.dtype) -> list[bytes]:
         if not self.by_words:
             return self.batch(texts, kind)
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        new = set().union(*parts).difference(self.known)
-        long = {w for w in new if len(w) > KEEP_CHARS}
-        new -= long
-        self.known.update(zip(new, self.batch(list(new), kind)))
+        self.stretches.turn()
+        self.pieces.turn()
+        every = set().union(*parts)
+        long = {w for w in every if len(w) > KEEP_CHARS}
+        known = self.stretches.young
+        known.update(self.fresh(self.stretches.missing(every - long), kind))
         if not long:
-            return [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        return [b"".join([self.known[w] if w not in long else self.batch([w], kind)[0] for w in p]) for p in parts]
+            return [b"".join(map(known.__getitem__, p)) for p in parts]
+        return [b"".join([known[w] if w not in long else self.batch([w], kind)[0] for w in p]) for p in parts]
 
 
 _ENCODERS: dict[str, IdEncoder] = {}

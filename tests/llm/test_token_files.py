@@ -77,6 +77,18 @@ def test_encoding_by_stretches_equals_whole_texts(texts):
     assert found == encoder.batch(texts, np.dtype("<u2"))
 
 
+def test_latin_words_and_marks_equal_whole_texts(spark):
+    """Each distinct stretch of the documents, and every short mix of letters, accents and marks."""
+    rng = random.Random(9)
+    signs = "aZéÀßÿ×÷ªµ'.,-_<|>!`~^3 \u0301İſǅ"
+    words = sorted({w for r in sf_documents(spark, "/root/testdata/sf0.01").select("text").collect() for w in (r.text or "").split()})
+    words += ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    encoder = token_files.IdEncoder(token_files.default_vocabulary(), 5000)
+    for a in range(0, len(words), 7000):
+        part = words[a : a + 7000]
+        assert encoder.encode(part, np.dtype("<u2")) == encoder.batch(part, np.dtype("<u2"))
+
+
 def best_cost(counts, limit):
     """Least total bits of a length-limited code, by dynamic programming over the sizes of levels."""
     counts = sorted(counts, reverse=True)
