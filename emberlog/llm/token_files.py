@@ -7,6 +7,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,21 +93,31 @@ class IdEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, kind).tobytes() for e in found]
 
+    def piece(self, part: str, code: str) -> bytes:
+        """Ids of one pre-token in lower case."""
+        found = self.pieces.old.get(part)
+        if found is None:
+            text = part if part.isascii() else part.translate(self.stand_in)
+            found = array(code, [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+        self.pieces.young[part] = found
+        return found
+
     def fresh(self, stretches: list[str], kind: np.dtype) -> dict[str, bytes]:
         """Ids of stretches that are not known yet."""
-        plain, other = {}, []
+        out, other, known, code = {}, [], self.pieces.young, kind.char
         for stretch in stretches:
             m = _PLAIN.fullmatch(stretch)
             if m is None:
                 other.append(stretch)
-            else:
-                plain[stretch] = (m[1].lower(), m[2])
-        parts = {part for pair in plain.values() for part in pair if part}
-        tokenize = self.tokenizer.model.tokenize
-        for part in self.pieces.missing(parts):
-            self.pieces.young[part] = np.array([t.id for t in tokenize(part.translate(self.stand_in))], kind).tobytes()
-        known = self.pieces.young
-        out = {s: (known[a] if a else b"") + (known[b] if b else b"") for s, (a, b) in plain.items()}
+                continue
+            word, marks = m.groups()
+            ids = b""
+            if word:
+                word = word.lower()
+                ids = known.get(word) or self.piece(word, code)
+            if marks:
+                ids += known.get(marks) or self.piece(marks, code)
+            out[stretch] = ids
         out.update(zip(other, self.batch(other, kind)))
         return out
 
@@ -249,34 +260,43 @@ def read_shard(code: Code, shard) -> tuple[pa.RecordBatch, Iterator[np.ndarray]]
     return index, pieces()
 
 
-def encode_documents(rows: DataFrame, vocabulary: str, end_id: int, kind: np.dtype) -> DataFrame:
-    """(doc_id, n_tokens, ids): packed ids of each text of (doc_id, text), with the end id."""
+def encode_documents(rows: DataFrame, vocabulary: str, end_id: int, kind: np.dtype, largest: int) -> DataFrame:
+    """(doc_id, n_tokens, ids, counts): packed ids of each text of (doc_id, text), with the end id.
+
+    Each task adds one row with ``counts`` only, the occurrences of every id in it, compressed.
+    """
     end = np.array([end_id], kind).tobytes()
+    names = ["doc_id", "n_tokens", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(vocabulary, None) or IdEncoder(vocabulary)
-        _ENCODERS[vocabulary] = encoder
+        encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, IdEncoder(vocabulary))
+        total, id_type = np.zeros(largest + 1, np.int64), None
         for part in slices(batches):
             found = [ids + end for ids in encoder.encode([t or "" for t in part.column(1).to_pylist()], kind)]
+            total += np.bincount(np.frombuffer(b"".join(found), kind), minlength=largest + 1)
             sizes = pa.array([len(x) // kind.itemsize for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(found, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            id_type = part.column(0).type
+            yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(found, pa.binary()), pa.nulls(len(found), pa.binary())], names)
+        if total.any():
+            last = pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), last], names)
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids binary, counts binary")
 
 
-def id_counts(encoded: DataFrame, largest: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+def id_counts(encoded: DataFrame, largest: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids that occur and how often, over all documents; bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(largest + 1, np.int64)
-        for part in slices(batches, 0):
-            for ids in part.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=largest + 1)
+        for part in batches:
+            for counts in part.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(counts), np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    found = sorted((r.id, r.n) for r in rows.collect())
+    rows = encoded.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "id bigint, n bigint")
+    found = sorted((r.id, r.n) for r in rows.groupBy("id").agg(F.sum("n").alias("n")).collect())
     return np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
 
@@ -306,9 +326,9 @@ def write_ids(
     kind = id_type(largest)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
     stored = scratch_path(spark, "ids")
-    encode_documents(rows, vocabulary, end_id, kind).write.option("compression", "zstd").parquet(stored)
+    encode_documents(rows, vocabulary, end_id, kind, largest).write.option("compression", "zstd").parquet(stored)
     encoded = spark.read.parquet(stored)
-    symbols, counts = id_counts(encoded, largest, kind)
+    symbols, counts = id_counts(encoded, largest)
     lengths = code_lengths(counts, max_bits) if len(symbols) else counts
     pairs = list(zip(symbols.tolist(), lengths.tolist()))
     spark.createDataFrame(pairs, "symbol bigint, bits bigint").coalesce(1).write.parquet(f"{path}/code")
@@ -335,7 +355,7 @@ def write_ids(
         if held:
             yield close()
 
-    ties = encoded.withColumn("_tie", F.xxhash64("ids")).withColumn("_row", F.monotonically_increasing_id())
+    ties = encoded.where(F.col("counts").isNull()).drop("counts").withColumn("_tie", F.xxhash64("ids")).withColumn("_row", F.monotonically_increasing_id())
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie"), F.col("_row")]
     ranged = ties.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     shards = ranged.mapInArrow(run, "number bigint, n_ids bigint, shard binary").withColumn("part", F.spark_partition_id())
