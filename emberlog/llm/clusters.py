@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from emberlog.runtime import broadcast_if_small, materialize
 
 MEMBERS = 2048
-ENTRIES = 4_000_000
+ENTRIES = 1_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -76,12 +76,16 @@ class Overlaps:
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.ends = np.cumsum(self.sizes)
         flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(self.n), self.sizes)
-        _, self.token = np.unique(flat, return_inverse=True)
-        order = np.argsort(self.token, kind="stable")
-        self.posting = owner[order]
-        self.count = np.bincount(self.token)
-        self.first = np.cumsum(self.count) - self.count
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        del flat
+        self.posting = np.repeat(np.arange(self.n, dtype=np.int32), self.sizes)[order]
+        self.token = np.empty(len(order), np.int32)
+        self.token[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.first = np.flatnonzero(new)
+        self.count = np.diff(np.append(self.first, len(new)))
 
     def with_member(self, i: int) -> np.ndarray:
         """Number of common elements of set i with each set."""

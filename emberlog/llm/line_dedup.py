@@ -19,7 +19,6 @@ from .words import mix, word_hashes
 
 BUCKETS = 1 << 22
 BLOCK = 1 << 13
-LEAST_WORDS = 5
 HOT = 1 << 15
 SLICE = 2 << 20
 NO_ID = -(1 << 63)
@@ -90,7 +89,7 @@ def read_lines(texts: pa.Array, least: int) -> Lines:
 def numbered_lines(docs: DataFrame, least: int) -> DataFrame:
     """One scan for two kinds of rows: the lines of each document, and counts of the tokens of each task.
 
-    Document rows hold doc_id, hash, n_lines, and the numbers and set ids of eligible lines (``nodes``); the others a
+    Document rows hold doc_id, hash, n_lines, and the numbers, set ids (``nodes``) and set sizes of eligible lines; the others a
     ``block`` of the counts in BUCKETS buckets.
     """
 
@@ -106,6 +105,7 @@ def numbered_lines(docs: DataFrame, least: int) -> DataFrame:
                 pa.array(got.in_doc, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(cut), pa.array(got.number.astype(np.int32))),
                 pa.ListArray.from_arrays(pa.array(cut), pa.array(got.node)),
+                pa.ListArray.from_arrays(pa.array(cut), pa.array(got.size.astype(np.int32))),
                 pa.nulls(part.num_rows, pa.int32()),
                 pa.nulls(part.num_rows, pa.binary()),
             ]
@@ -113,11 +113,12 @@ def numbered_lines(docs: DataFrame, least: int) -> DataFrame:
         blocks = total.reshape(-1, BLOCK)
         some = np.flatnonzero(blocks.any(axis=1))
         packed = [zlib.compress(blocks[b].astype("<i8").tobytes(), 1) for b in some]
-        nothing = [pa.nulls(len(some), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+        nothing = [pa.nulls(len(some), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    names = ["doc_id", "hash", "n_lines", "numbers", "nodes", "block", "counts"]
-    return docs.mapInArrow(run, "doc_id bigint, hash bigint, n_lines bigint, numbers array<int>, nodes array<bigint>, block int, counts binary")
+    names = ["doc_id", "hash", "n_lines", "numbers", "nodes", "sizes", "block", "counts"]
+    schema = "doc_id bigint, hash bigint, n_lines bigint, numbers array<int>, nodes array<bigint>, sizes array<int>, block int, counts binary"
+    return docs.mapInArrow(run, schema)
 
 
 def rarity_codes(counted: DataFrame) -> np.ndarray:
@@ -220,7 +221,7 @@ def candidate_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs_of_keys(batches):
-            key, node, shape, low, high = (c.to_numpy() for c in part)
+            key, node, shape, low, high = without_copies(part)
             low, high = low.view(np.uint64), high.view(np.uint64)
             size, position = shape >> 32, shape & ((1 << 32) - 1)
             last = np.append(np.flatnonzero(key[1:] != key[:-1]), len(key) - 1)
@@ -251,7 +252,15 @@ def candidate_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
                 u, v = star_edges(*map(np.concatenate, zip(*found)))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u bigint, v bigint")
+
+
+def without_copies(part: list[pa.Array]) -> list[np.ndarray]:
+    """One row of each key and line; the others come from copies of the line in other slices."""
+    columns = [c.to_numpy() for c in part]
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    return [c[new] for c in columns]
 
 
 def runs_of_keys(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[pa.Array]]:
@@ -298,7 +307,7 @@ def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least:
     same = (F.col("doc_id") == F.col("_doc")) & (F.col("hash") == F.col("_text"))
     texts = docs.join(broadcast_if_small(materialize(wanted)), same).select("text", "wanted")
     with_sets = texts.mapInArrow(sets, "node bigint, set array<bigint>")
-    tasks = deal(members, "size", 2.0).select(*TASK, "at.doc", "at.hash", "at.line")
+    tasks = deal(members, "size", 1.01 * den / num).select(*TASK, "at.doc", "at.hash", "at.line")
     tasks = tasks.join(with_sets, "node").select(*TASK, "doc", "hash", "line", "set")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,14 +342,14 @@ def least_near(least: int, num: int, den: int) -> int | None:
 
 
 def repeated_lines(
-    docs: DataFrame, num: int = 80, den: int = 100, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, num: int = 80, den: int = 100, least_words: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id, ``n_lines``, ``n_removed``, ``removed`` (numbers of lines, from 0, in order).
 
     Lines are split at newlines; words are compared with A-Z as a-z. A line with ``least_words`` different words or
     more is removed if an earlier line, by (document id, line number), has a word set of Jaccard similarity
-    num / den or more, whether or not that line is removed itself. Shorter lines stay; with ``least_words`` 1, as
-    the query and the pipeline have it, no line with a word is exempt.
+    num / den or more, whether or not that line is removed itself. Shorter lines stay; by default no line with a
+    word is exempt.
 
     Equal word sets are one node, whose earliest place decides; near sets are found by prefix tokens in order of
     rarity with length, positional and parity filters, grouped, and verified exactly in tasks of bounded size.
@@ -378,24 +387,25 @@ def removals(rows: DataFrame, num: int, den: int, least_words: int) -> tuple[Dat
     rows = rows.select(key["doc_id"].alias("doc_id"), "text", key["hash"].alias("hash"))
     both = materialize(numbered_lines(rows, least_words))
     found = both.where(F.col("block").isNull()).select("doc_id", "hash", "n_lines", "numbers", "nodes")
-    lines = found.select(F.col("doc_id").alias("doc"), "hash", F.explode(F.arrays_zip("numbers", "nodes")).alias("_l"))
-    lines = lines.select("doc", "hash", F.col("_l.numbers").alias("line"), F.col("_l.nodes").alias("node"))
+    whole = both.where(F.col("block").isNull()).select(F.col("doc_id").alias("doc"), "hash", F.explode(F.arrays_zip("numbers", "nodes", "sizes")).alias("_l"))
+    lines = whole.select("doc", "hash", F.col("_l.numbers").alias("line"), F.col("_l.nodes").alias("node"))
     at = F.struct("doc", "hash", "line")
-    first = materialize(lines.groupBy("node").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n")))
+    sized = whole.select("doc", "hash", F.col("_l.numbers").alias("line"), F.col("_l.nodes").alias("node"), F.col("_l.sizes").alias("size"))
+    first = materialize(sized.groupBy("node").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size")))
     at_least = least_near(least_words, num, den)
     if at_least is None:
         best = first.withColumn("_near", F.lit(None).cast(first.schema["at"].dataType))
     else:
         codes = rarity_codes(both.where(F.col("block").isNotNull()))
         edges = candidate_edges(prefix_rows(rows, at_least, num, den, codes), num, den)
-        near = earliest_similar(rows, first.select("node", "at", F.lit(64).alias("size")), edges, at_least, num, den)
+        near = earliest_similar(rows, first.select("node", "at", "size"), edges, at_least, num, den)
         best = first.join(materialize(near).select("node", F.col("at").alias("_near")), "node", "left")
     best = best.where((F.col("n") > 1) | F.col("_near").isNotNull()).select("node", F.least("at", "_near").alias("_best"))
     gone = lines.join(best, "node").where(at > F.col("_best")).groupBy("doc", F.col("hash").alias("_text"))
     return found, gone.agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, least_words: int = LEAST_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, least_words: int = 1) -> DataFrame:
     """The documents without their repeated lines, ``n_chars`` counted anew where the table has it.
 
     A document goes when lines were removed and no word is left. Documents without repeated lines, those without

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from emberlog.runtime import materialize
 
 from .common import flat, pick, slices
-from .words import mix
+from .words import mix, windows
 
 LENGTH = 200
 GRAM = 72
@@ -35,18 +35,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """64-bit polynomial hashes of any byte range of a segment."""
+    """64-bit hashes of byte ranges of eight bytes or more of a segment.
+
+    Sums of powers times scrambled windows of eight bytes, all windows that lie inside the range. Scrambling first
+    keeps texts from cancelling out, as plain bytes can in such a sum.
+    """
 
     def __init__(self, data: np.ndarray) -> None:
         up, self.down = _powers(max(len(data), SEGMENT) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+        np.cumsum(mix(windows(data)[: len(data)]) * up[: len(data)], out=self.sums[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[begin]) * self.down[begin] ^ (end - begin).astype(np.uint64))
+        return mix((self.sums[end - 7] - self.sums[begin]) * self.down[begin] ^ (end - begin).astype(np.uint64))
 
     def grams(self, k: int) -> np.ndarray:
-        return mix((self.sums[k:] - self.sums[:-k]) * self.down[: len(self.sums) - k])
+        n = len(self.sums) - k
+        return mix((self.sums[k - 7 : k - 7 + n] - self.sums[:n]) * self.down[:n])
 
 
 def find_runs(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:

@@ -10,9 +10,10 @@ import numpy as np
 BLOCK_BYTES = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_LOWER[65:91] += np.uint64(32)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -37,21 +38,35 @@ def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
 
 
+def windows(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place as one number, zeros after the end; a view of a padded copy."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def hash_runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each non-empty byte run, in blocks of bounded size."""
+    """A 64-bit hash of each non-empty byte run, in blocks of bounded size.
+
+    Eight bytes at a time are scrambled together with their place in the run before they are added up, so no
+    pattern of letters cancels out as it can in a polynomial.
+    """
     out = np.empty(len(begins), np.uint64)
     if not len(begins):
         return out
+    eight = windows(_LOWER[data])
     sizes = ends - begins
     total = np.cumsum(sizes)
-    powers = np.cumprod(np.full(int(sizes.max()), _BASE, np.uint64))
     i = 0
     while i < len(begins):
         j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK_BYTES, side="right")))
-        n, first = sizes[i:j], total[i:j] - sizes[i:j] - (total[i - 1] if i else 0)
-        inside = np.arange(int(n.sum())) - np.repeat(first, n)
-        values = _LOWER[data[np.repeat(begins[i:j], n) + inside]] * powers[inside]
-        out[i:j] = mix(np.add.reduceat(values, first) ^ n.astype(np.uint64))
+        n = sizes[i:j]
+        steps = (n + 7) >> 3
+        first = np.cumsum(steps) - steps
+        step = np.arange(int(steps.sum())) - np.repeat(first, steps)
+        left = np.minimum(np.repeat(n, steps) - 8 * step, 8)
+        values = eight[np.repeat(begins[i:j], steps) + 8 * step] & _TAIL[left]
+        out[i:j] = mix(np.add.reduceat(mix(values + (step + 1).astype(np.uint64) * _PLACE), first) ^ n.astype(np.uint64))
         i = j
     return out
 

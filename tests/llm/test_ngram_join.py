@@ -47,6 +47,12 @@ def brute(rows, k, num, den):
     return sorted(out, key=str)
 
 
+def thue_morse(n):
+    """A word of n letters in which the number's odd bits decide, and the word with the letters exchanged."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def edits(rng, n_bases=12, copies=14):
     """Texts in families: each copy changes some words of the family's text or of another copy."""
     words = [f"w{i}" for i in range(400)]
@@ -160,3 +166,11 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in sf_documents(spark).collect()]
     got = queries.op9_ngram_join(spark, SF).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == brute(rows, 3, 90, 100)
+
+
+def test_words_that_cancel_out_in_polynomials(spark):
+    for n in (1024, 4096):
+        word, other = thue_morse(n)
+        rows = [(1, word), (2, other), (3, f"{word} x y"), (4, f"{other} x y")]
+        assert all(r.component_id == r.doc_id for r in ngram_join.ngram_join(frame(spark, rows)).collect())
+        assert ngram_join.keep_firsts(frame(spark, rows)).count() == 4

@@ -100,3 +100,22 @@ def test_query(spark):
     want = dict(zip([d for d, _ in docs], brute([t for _, t in docs], 200)))
     got = queries.op3_suffix_dedup(spark, SF).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_texts_that_cancel_out_in_polynomials(spark):
+    """Two texts with a common middle; their differences on both sides cancel out in a sum of bytes times powers."""
+    p = np.array([1], np.int64)
+    for i, m in enumerate((1, 3, 3, 3, 3, 1)):
+        factor = np.zeros((1 << i) + 1, np.int64)
+        factor[0], factor[-1] = -1, 1
+        for _ in range(m):
+            p = np.convolve(p, factor)
+    p = np.pad(p, (0, 128 - len(p)))
+    base = 0x9E3779B97F4A7C15
+    assert sum(int(c) * (pow(base, k, 1 << 64) + pow(base, k + 200, 1 << 64)) for k, c in enumerate(p)) % (1 << 64) == 0
+    low, high = (bytes((60 + np.maximum(s * p, 0)).astype(np.uint8)) for s in (1, -1))
+    middle = bytes(65 + i % 23 for i in range(72))
+    texts = [(a + middle + a).decode() for a in (low, high)]
+    assert max(map(max, (t.encode() for t in texts))) < 127 and not {texts[0][i : i + 200] for i in range(129)} & {texts[1][i : i + 200] for i in range(129)}
+    got = suffix_dedup.repeated_strings(frame(spark, list(enumerate(texts)))).collect()
+    assert [r.n_removed for r in got] == [0, 0]

@@ -110,26 +110,26 @@ def brute_spans(text):
 
 
 def brute_entropy(text):
-    """Windows one by one, with their entropy from scratch."""
-    scan, out = secrets._Scan(20, secrets.THRESHOLDS, secrets.ALLOW), []
+    """Windows one by one, with their entropy and class from scratch, in what the allow-list leaves of a candidate."""
+    kind_of, out = secrets._Scan.kind_of, []
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
-        s = m[0]
-        if any(re.search(p, s) for p in secrets.ALLOW):
-            continue
-        covered = [False] * len(s)
-        for i in range(len(s) - 19):
-            w = s[i : i + 20]
-            h = -sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w))
-            if h >= secrets.THRESHOLDS[scan.kind_of(s)] - 1e-9:
-                covered[i : i + 20] = [True] * 20
-        i = 0
-        while i < len(s):
-            j = i
-            while j < len(s) and covered[j]:
-                j += 1
-            if j > i:
-                out.append((m.start() + i, "entropy", m.start() + j))
-            i = max(j, i + 1)
+        left = [(m.start(), m.end())]
+        for p in secrets.ALLOW:
+            cut = []
+            for a, b in left:
+                ends = [a, *[a + x for k in re.finditer(p, text[a:b]) for x in k.span()], b]
+                cut += list(zip(ends[::2], ends[1::2]))
+            left = cut
+        for a, b in left:
+            covered = [False] * (b - a)
+            for i in range(b - a - 19):
+                w = text[a + i : a + i + 20]
+                h = -sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w))
+                kinds = {kind_of(text[a:b])} | ({kind_of(w)} & {"digits", "hex"})
+                if h >= min(secrets.THRESHOLDS[k] for k in kinds) - 1e-9:
+                    covered[i : i + 20] = [True] * 20
+            edges = [i for i in range(b - a + 1) if (i > 0 and covered[i - 1]) != (i < b - a and covered[i])]
+            out += [(a + i, "entropy", a + j) for i, j in zip(edges[::2], edges[1::2])]
     return out
 
 
@@ -141,6 +141,9 @@ SECRET_TEXTS = [
     "your_key=AbC9xK2mQ7vL5nR8tY3wZ6pJ1sD4fG0h then q8Zr-T2x/Vn+4Lw=Pk7Hy3Bd9Ms1",
     "this-is-a-long-identifier-of-words abcdefghijklmnopqrstuvwxyz 73920184650192837465",
     "AbC9xK2mQ7vL5nR8tY3wZ6pJ1sD4fG0h" + "a" * 60 + "Zq8Kx3Lm9Pw2Rt7Yv5Bn1Cd",
+    "sample_key=AbC9xK2mQ7vL5nR8tY3wZ6pJ1sD4fG0h /example/files/q8ZrT2xVn4LwPk7Hy3Bd9Ms1Fg5",
+    "id_3f9a1c7e5b2d8046ce91fa37 session-0b7d4e92a6f158c3d07e9b24 key/5A9C01E7B3D2F8466CE91FA3",
+    "AbC9xK2mQ7vL5nR8tY3w-73920184650192837465-aXbYcZdWeVfUgThSiRjQ",
 ]
 
 
