@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from emberlog.runtime import broadcast_if_small, materialize
 
 MEMBERS = 2048
-ENTRIES = 1_000_000
+ENTRIES = 4_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,13 +43,13 @@ def components(edges: DataFrame) -> DataFrame:
 def deal(members: DataFrame, size: str, ratio: float) -> DataFrame:
     """Deal cluster members to tasks: adds ``band``, ``i``, ``j``, ``part`` and ``side`` to rows (node, root, ...).
 
-    A cluster within MEMBERS rows and ENTRIES set entries is one task. A larger one is first cut by set size: sets
-    that differ in size by more than ``ratio`` cannot be similar, so classes of that ratio only meet themselves
-    and the next class, whose rows come along as ``side`` 1. A task that is still larger is cut into blocks by
-    node hash, and each pair of blocks is a task. No pair is lost and no task is larger.
+    A cluster within MEMBERS rows and ENTRIES set entries is one task. One with more entries is first cut by set
+    size: sets that differ in size by more than ``ratio`` cannot be similar, so classes of that ratio only meet
+    themselves and the next class, whose rows come along as ``side`` 1. A task that is still larger is cut into
+    blocks by node hash, and each pair of blocks is a task. No pair is lost and no task is larger.
     """
     need = F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum(size) / ENTRIES)
-    totals = members.groupBy("root").agg((need > 1).alias("_large"))
+    totals = members.groupBy("root").agg((F.sum(size) > ENTRIES).alias("_large"))
     rows = members.join(broadcast_if_small(totals, 100_000), "root")
     own = F.floor(F.log(F.col(size)) / math.log(ratio)).cast("int")
     at = lambda band, side: F.struct(band.alias("band"), F.lit(side).alias("side"))

@@ -17,7 +17,8 @@ from .clusters import TASK, Overlaps, as_sets, components, deal, task_groups, ve
 from .common import flat, mark_copies, pick, place, slices
 from .words import mix, word_hashes
 
-BUCKETS = 1 << 22
+BUCKETS = 1 << 24
+_SHIFT = np.uint64(40)
 BLOCK = 1 << 13
 HOT = 1 << 15
 SLICE = 2 << 20
@@ -94,10 +95,11 @@ def numbered_lines(docs: DataFrame, least: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.uint32)
         for part in slices(batches, 1, SLICE):
             got = read_lines(part.column(1), least)
-            total += np.bincount((got.tokens >> np.uint64(42)).astype(np.int64), minlength=BUCKETS)
+            some, n = np.unique(got.tokens >> _SHIFT, return_counts=True)
+            total[some.astype(np.int64)] += n.astype(np.uint32)
             cut = np.searchsorted(got.doc, np.arange(part.num_rows + 1)).astype(np.int32)
             arrays = [
                 part.column(0),
@@ -112,7 +114,7 @@ def numbered_lines(docs: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names)
         blocks = total.reshape(-1, BLOCK)
         some = np.flatnonzero(blocks.any(axis=1))
-        packed = [zlib.compress(blocks[b].astype("<i8").tobytes(), 1) for b in some]
+        packed = [zlib.compress(blocks[b].astype("<u4").tobytes(), 1) for b in some]
         nothing = [pa.nulls(len(some), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names)
 
@@ -132,7 +134,7 @@ def rarity_codes(counted: DataFrame) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for part in batches:
             for block, packed in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                counts = np.frombuffer(zlib.decompress(packed), "<i8")
+                counts = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
                 totals[block] = totals[block] + counts if block in totals else counts
         codes = []
         for counts in totals.values():
@@ -166,7 +168,7 @@ def prefix_rows(docs: DataFrame, least: int, num: int, den: int, codes: np.ndarr
             if not len(got.size):
                 continue
             line = np.repeat(np.arange(len(got.size)), got.size)
-            code = code_of[(got.tokens >> np.uint64(42)).astype(np.int64)]
+            code = code_of[(got.tokens >> _SHIFT).astype(np.int64)]
             bit = mix(got.tokens ^ _SALT)
             word = np.uint64(1) << (bit & np.uint64(63))
             upper = (bit >> np.uint64(6)) & np.uint64(1) == 1
