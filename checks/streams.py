@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlog.plans.summary import merge_tallies
 from emberlog.runtime import scratch_path
 from emberlog.streaming import live
+from emberlog.streaming.growing import growing_lines
 
 from .registry import query
 from .render import EV, LOG, access_raw, events_frame, mixed_log
@@ -137,6 +139,60 @@ def progress_metrics(spark, sf_dir):
         spark.streams.removeListener(log)
 
 
+def _append_files(path: str, more: str) -> None:
+    """Append the n-th text file of one local folder to the n-th of another, without its last line end."""
+    local = fs.LocalFileSystem()
+    names = [sorted(f.path for f in local.get_file_info(fs.FileSelector(p)) if f.base_name.startswith("part-")) for p in (path, more)]
+    for old, new in zip(*names):
+        with local.open_input_stream(new) as source, local.open_append_stream(old) as out:
+            out.write(source.read())
+
+
+def _in_two_parts(spark, sf_dir: str) -> tuple[str, str]:
+    """Access log of even and of odd events, four files each."""
+    log = events_frame(spark, sf_dir).select("event_id", access_raw().alias("value"))
+    paths = scratch_path(spark, "growing"), scratch_path(spark, "more")
+    for k, path in enumerate(paths):
+        log.where(F.pmod("event_id", F.lit(2)) == k).select("value").repartition(4).write.text(path)
+    return paths
+
+
+@query(
+    "tail_growing",
+    f"""WITH {LOG} SELECT batch, source, count(*) AS n FROM (
+  SELECT event_id % 2 AS batch, CASE WHEN outcome = 'failed' THEN 'noise' ELSE ip END AS source FROM log WHERE outcome <> 'blank') GROUP BY ALL""",
+)
+def tail_growing(spark, sf_dir):
+    """Files that double between two runs of one tail: each run brings its own half."""
+    (path, more), out, offsets = _in_two_parts(spark, sf_dir), scratch_path(spark, "tail"), scratch_path(spark, "offsets")
+
+    def run(k: int) -> None:
+        def sink(rows, batch_id):
+            rows.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/run={k}/id={batch_id}")
+
+        live.tail_growing(spark, path, sink, offsets, first=-1).awaitTermination()
+
+    run(0)
+    _append_files(path, more)
+    run(1)
+    rows = spark.read.parquet(f"{out}/run=0", f"{out}/run=1")
+    return rows.groupBy("batch", F.substring_index("raw", " ", 1).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("folded_growing", f"WITH {LOG} SELECT level AS key, count(*) AS n FROM {_P} GROUP BY ALL")
+def folded_growing(spark, sf_dir):
+    """Level counts of growing files: tallies of two runs, folded in between and after."""
+    (path, more), out, folded = _in_two_parts(spark, sf_dir), scratch_path(spark, "tallies"), scratch_path(spark, "folded")
+    offsets = scratch_path(spark, "offsets")
+    for k in range(2):
+        live.tally_batches(growing_lines(spark, path), "apache_access", out, offsets).awaitTermination()
+        live.compact_tallies(spark, out, folded)
+        if not k:
+            _append_files(path, more)
+    rows = live.merged_tallies(spark, out, folded).where("kind = 'level'")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def _mixed_landing(spark, sf_dir: str) -> str:
     """Four folders of one format each, as text files."""
     path = scratch_path(spark, "mixed")

@@ -1,7 +1,7 @@
 """Tail, replay and running counts with Structured Streaming.
 
-The file source picks up new files in a directory; bytes appended to a file it has read are not seen.
-Land or rotate whole files.
+:func:`stream_raw` picks up new files in a directory; bytes appended to a file it has read are not seen. For files that
+grow, use :func:`emberlog.streaming.growing.growing_lines`; all ``*_batches`` functions take its lines, too.
 
 ``stream_*`` and ``replay`` are plain streaming frames for one known format or a fixed table of formats. The
 ``*_batches`` functions work through each micro-batch as a batch frame: they detect formats of files as they
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -37,6 +38,7 @@ from ..plans.summary import merge_tallies, tally
 from ..runtime import materialize
 from ..schema import FALLBACK_FORMAT
 from ..sources.lines import ordered_ids, tail_lines
+from .growing import growing_lines
 
 
 def stream_raw(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -51,7 +53,9 @@ def stream_raw(spark: SparkSession, path: str, files_per_trigger: int | None = N
 
 
 def batch_lines(batch: DataFrame) -> DataFrame:
-    """A micro-batch of :func:`stream_raw` as LINES; ids grow in file order."""
+    """A micro-batch of :func:`stream_raw` or of growing files as LINES; ids grow in file order."""
+    if "line_id" in batch.columns:
+        return batch.select("source_path", "block_start", "line_id", "raw")
     return batch.select("source_path", "block_start", ordered_ids(F.col("block_start")).alias("line_id"), "raw")
 
 
@@ -101,6 +105,63 @@ def tail_batches(
     return run_batches(stream_raw(spark, path), each, checkpoint, trigger)
 
 
+def tail_growing(
+    spark: SparkSession,
+    path: str,
+    sink: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    first: int = 50,
+    pattern: str | None = None,
+    trigger: dict | None = None,
+    **options,
+) -> StreamingQuery:
+    """Tail of files that grow: the last ``first`` lines of each file, then every line appended, each once.
+
+    ``sink`` and the filters are those of :func:`tail_batches`, options those of
+    :func:`emberlog.streaming.growing.growing_lines`.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        kept = regex_filter(drop_blank(batch.select("source_path", "line_id", "raw")), pattern)
+        sink(kept.withColumn("received_at", F.current_timestamp()), batch_id)
+
+    return run_batches(growing_lines(spark, path, first, **options), each, checkpoint, trigger)
+
+
+#: Replay speeds and their lines a second; 0 is without a pause.
+SPEEDS = {1: 5, 2: 10, 5: 25, 10: 50, 0: 0}
+
+
+def replay_paced(
+    spark: SparkSession,
+    path: str,
+    sink: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    progress: str,
+    fmt: str,
+    speed: int = 1,
+    seconds: int = 1,
+    pattern: str | None = None,
+    trigger: dict | None = None,
+    registry: FormatRegistry = DEFAULT_REGISTRY,
+) -> StreamingQuery:
+    """Stored files as parsed entries at a chosen speed, file after file.
+
+    Every ``seconds`` a micro-batch brings the lines of that time. ``progress`` names the file that keeps the position:
+    a stopped replay goes on at the next line, also at another speed. Rows have ``line_id`` for their place.
+    """
+    if speed not in SPEEDS:
+        raise ValueError(f"speed must be one of {sorted(SPEEDS)}")
+    lines = growing_lines(spark, path, lines=SPEEDS[speed] * seconds, progress=progress)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        kept = drop_blank(regex_filter(batch_lines(batch), pattern)).withColumn("format", F.lit(fmt))
+        sink(parse_marked(kept, [fmt], registry), batch_id)
+
+    registry.get(fmt)
+    return run_batches(lines, each, checkpoint, trigger or {"processingTime": f"{seconds} seconds"})
+
+
 def replay_batches(
     spark: SparkSession,
     path: str,
@@ -223,37 +284,72 @@ def tally_batches(
     """Write the tally of every micro-batch below ``path``; a repeated batch overwrites its own folder.
 
     Without ``fmt`` each file's format is detected when it lands. Read the tallies back with
-    :func:`merged_tallies`, and fold them from time to time with :func:`compact_tallies`.
+    :func:`merged_tallies`, and fold them from time to time with :func:`compact_tallies`. A batch counts as soon as its
+    marker below ``landed`` is there, which is written after its rows below ``data``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         marked, names = batch_formats(batch_lines(batch), fmt, registry)
-        tally(marked, names, registry).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        tally(marked, names, registry).write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+        _publish(batch.sparkSession, [(batch_id,)], "batch bigint", f"{path}/landed/id={batch_id}", "overwrite")
 
     return run_batches(lines, write, checkpoint, trigger)
 
 
+def _publish(spark: SparkSession, rows: list[tuple], schema: str, path: str, mode: str = "error") -> None:
+    """One small file, which is there as a whole or not at all."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode(mode).parquet(path)
+
+
+def _landed(spark: SparkSession, path: str) -> list[int]:
+    return sorted({r.batch for r in spark.read.parquet(f"{path}/landed").select("batch").collect()})
+
+
+def _fold(spark: SparkSession, into: str | None) -> tuple[int, int, str | None]:
+    """Version, last batch and folder of the newest published fold; (-1, -1, None) before the first one."""
+    if into is None:
+        return -1, -1, None
+    try:
+        found = spark.read.parquet(f"{into}/manifest").select("version", "upto", "folder").collect()
+    except AnalysisException:  # nothing folded yet
+        return -1, -1, None
+    return max(map(tuple, found), default=(-1, -1, None))
+
+
+def _tallies(spark: SparkSession, path: str, fold: tuple[int, int, str | None], last: int) -> DataFrame:
+    """Tallies up to batch ``last``, those of the fold from its folder."""
+    _, upto, folder = fold
+    parts = [] if folder is None else [spark.read.parquet(folder)]
+    if last > upto:
+        batches = spark.read.parquet(f"{path}/data")
+        parts.append(batches.where((F.col("batch") > upto) & (F.col("batch") <= last)).drop("batch"))
+    return merge_tallies(parts)
+
+
 def compact_tallies(spark: SparkSession, path: str, into: str) -> int:
-    """Fold all batches below ``path`` into one folder below ``into``; returns the last batch in it.
+    """Fold all landed batches below ``path`` into one folder below ``into``; returns the last batch in it.
 
-    Folders of batches up to that one may be deleted then. Readers that pass ``into`` skip them in any case.
+    The fold first lists its batches and reads only these, so a batch that lands meanwhile stays for the next one. Its
+    rows go into a folder of their own, which counts from the moment the manifest of the next version names it: a
+    fold that dies changes nothing, and of two folds at once the later one fails. Nothing is deleted;
+    folders of batches up to the returned one are not read again by readers that pass ``into``.
     """
-    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
-    merged_tallies(spark, path, into).write.mode("overwrite").parquet(f"{into}/upto={last}")
+    fold = _fold(spark, into)
+    version, upto, _ = fold
+    last = upto
+    for batch in _landed(spark, path):  # batches land in order; stop at a gap, should there be one
+        last = batch if batch == last + 1 else last
+    if last > upto:
+        folder = f"{into.rstrip('/')}/fold-{uuid.uuid4().hex}"
+        _tallies(spark, path, fold, last).write.parquet(folder)
+        _publish(spark, [(version + 1, last, folder)], "version bigint, upto bigint, folder string", f"{into}/manifest/id={version + 1}")
     return last
 
 
 def merged_tallies(spark: SparkSession, path: str, compacted: str | None = None) -> DataFrame:
-    """The tallies of all batches, of which those up to the last compaction come from ``compacted``."""
-    batches = spark.read.parquet(path)
-    if compacted is None:
-        return merge_tallies([batches.drop("batch")])
-    try:
-        folded = spark.read.parquet(compacted)
-    except AnalysisException:  # nothing folded yet
-        return merge_tallies([batches.drop("batch")])
-    last = folded.agg(F.max("upto")).first()[0]
-    return merge_tallies([folded.where(F.col("upto") == last).drop("upto"), batches.where(F.col("batch") > last).drop("batch")])
+    """The tallies of all landed batches, of which those of the newest fold come from ``compacted``; each counts once."""
+    fold = _fold(spark, compacted)
+    return _tallies(spark, path, fold, max([fold[1], *_landed(spark, path)]))
 
 
 class ProgressLog(StreamingQueryListener):
