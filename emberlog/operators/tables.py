@@ -59,8 +59,14 @@ def severity_table(summary: DataFrame) -> DataFrame:
     )
 
 
-def status_table(summary: DataFrame) -> DataFrame:
-    rows = summary.select("source_path", F.explode("status_codes").alias("code", "n"))
+def status_table(summary: DataFrame, tallies: DataFrame | None = None) -> DataFrame:
+    """Counts of every status. With the ``tallies`` behind the summary all codes are rows, however many there are;
+    from the summary alone, codes beyond its bounded map come as one rest row.
+    """
+    if tallies is not None:
+        rows = tallies.where(F.col("kind") == "status").select("source_path", F.col("key").alias("code"), "n")
+    else:
+        rows = summary.select("source_path", F.explode("status_codes").alias("code", "n"))
     return rows.select("source_path", "code", "n", status_category(F.col("code")).alias("category"))
 
 

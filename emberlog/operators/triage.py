@@ -11,7 +11,7 @@ from ..functions.rates import pct
 from ..functions.text import ellipsize, strip
 from ..functions.times import iso_text, span_text, utc_wall_clock
 from ..functions.variants import has, is_object, is_string, member, parse_json, text_at, text_of
-from ..schema import ISSUE
+from ..schema import ISSUE, OTHER_KEYS
 from .counts import span_micros
 from .tables import percent_text, thousands
 
@@ -75,7 +75,7 @@ def triage_context(summary: DataFrame, analytics: DataFrame | None = None) -> Da
     sources = F.transform(
         "top_sources", lambda e: F.format_string("- %s: %s entries", e["source"], thousands(e["count"]))
     )
-    by_code = F.array_sort(F.map_entries("status_codes"))
+    by_code = F.array_sort(F.filter(F.map_entries("status_codes"), lambda e: e["key"] != OTHER_KEYS))
     status = F.transform(
         _ranked(by_code, "key", "value", 10),
         lambda e: F.format_string(

@@ -23,9 +23,10 @@ from ..operators.entries import attach_format, formats_in_use, parse_marked
 from ..operators.ranking import first_k
 from ..operators.timeseries import assemble_analytics, hourly_distribution, temporal_distribution
 from ..runtime import broadcast_if_small, materialize
-from ..schema import DEFAULT_SAMPLES, TOP_K
+from ..schema import DEFAULT_SAMPLES, MAP_KEYS, OTHER_KEYS, TOP_K
 
 _RANKED = ("source", "error")
+_MAPPED = ("level", "status")
 _BY_BLOCK = ("error_block", "warning_block")
 
 
@@ -141,24 +142,29 @@ def assemble_parts(piece: SummaryParts) -> DataFrame:
 
 def _assemble(tallies: DataFrame, formats: DataFrame, samples: DataFrame) -> DataFrame:
     """Tallies + formats + sample arrays -> SUMMARY. Inputs are small: keys, not lines."""
-    open_keys = tallies.where(F.col("kind").isin(*_RANKED))
-    ranked = first_k(
-        open_keys,
-        ["source_path", "kind"],
-        [F.col("n").desc(), *[F.col(c) for c in ("part", "first_line") if c in tallies.columns]],
-        TOP_K,
-        rank="place",
-        spread=False,
+    place = [F.col(c) for c in ("part", "first_line") if c in tallies.columns]
+    ranked = _top_keys(tallies.where(F.col("kind").isin(*_RANKED)), place, TOP_K)
+    mapped = _top_keys(tallies.where(F.col("kind").isin(*_MAPPED)), place, MAP_KEYS)
+    closed = tallies.where(F.col("kind") == "line").withColumn("place", F.lit(None).cast("int"))
+    # Errors and the rest of a map come from sums over all keys, also those that the map leaves out.
+    sums = tallies.where(F.col("kind").isin(*_MAPPED)).groupBy("source_path").agg(
+        F.coalesce(F.sum(F.when((F.col("kind") == "level") & is_error(F.col("key")), F.col("n"))), F.lit(0)).alias("_errors"),
+        *[F.coalesce(F.sum(F.when(F.col("kind") == name, F.col("n"))), F.lit(0)).alias(f"_all_{name}") for name in _MAPPED],
     )
-    closed = tallies.where(~F.col("kind").isin(*_RANKED)).withColumn("place", F.lit(None).cast("int"))
-    rows = closed.unionByName(ranked)
+    rows = closed.unionByName(ranked).unionByName(mapped)
     kind = F.col("kind")
 
     def lines(outcome: str) -> Column:
         return F.coalesce(F.sum(F.when((kind == "line") & (F.col("key") == outcome), F.col("n"))), F.lit(0))
 
     def counter(name: str) -> Column:
-        return F.map_from_entries(F.collect_list(F.when(kind == name, F.struct("key", "n"))))
+        return F.collect_list(F.when(kind == name, F.struct("key", "n")))
+
+    def bounded(name: str) -> Column:
+        """At most MAP_KEYS keys, the counts of all others under OTHER_KEYS."""
+        left = F.col(f"_all_{name}") - F.aggregate(f"_{name}", F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
+        rest = F.array(F.struct(F.lit(OTHER_KEYS).alias("key"), left.alias("n")))
+        return F.map_from_entries(F.when(left > 0, F.concat(f"_{name}", rest)).otherwise(F.col(f"_{name}")))
 
     def listed(name: str) -> Column:
         return F.array_sort(F.collect_list(F.when(kind == name, F.struct("place", "key", "n"))))
@@ -167,11 +173,10 @@ def _assemble(tallies: DataFrame, formats: DataFrame, samples: DataFrame) -> Dat
         lines("blank").alias("blank_lines"),
         lines("parsed").alias("parsed_lines"),
         lines("failed").alias("failed_lines"),
-        F.coalesce(F.sum(F.when((kind == "level") & is_error(F.col("key")), F.col("n"))), F.lit(0)).alias("_errors"),
         F.min(F.when(kind == "line", F.col("earliest_ts"))).alias("earliest_ts"),
         F.max(F.when(kind == "line", F.col("latest_ts"))).alias("latest_ts"),
-        counter("level").alias("level_counts"),
-        counter("status").alias("status_codes"),
+        counter("level").alias("_level"),
+        counter("status").alias("_status"),
         listed("error").alias("_top_errors"),
         listed("source").alias("_top_sources"),
     )
@@ -182,7 +187,8 @@ def _assemble(tallies: DataFrame, formats: DataFrame, samples: DataFrame) -> Dat
     total = F.col("blank_lines") + F.col("parsed_lines") + F.col("failed_lines")
     none = F.array().cast(samples.schema["entries"].dataType)
     return (
-        wide.join(formats.select("source_path", "format"), "source_path", "left")
+        wide.join(sums, "source_path", "left")
+        .join(formats.select("source_path", "format"), "source_path", "left")
         .join(picked, "source_path", "left")
         .select(
             "source_path",
@@ -191,15 +197,15 @@ def _assemble(tallies: DataFrame, formats: DataFrame, samples: DataFrame) -> Dat
             "blank_lines",
             "parsed_lines",
             "failed_lines",
-            error_rate(F.col("_errors"), F.col("parsed_lines")).alias("error_rate"),
+            error_rate(F.coalesce("_errors", F.lit(0)), F.col("parsed_lines")).alias("error_rate"),
             parse_success_rate(F.col("parsed_lines"), total).alias("parse_success_rate"),
             "earliest_ts",
             "latest_ts",
             F.floor(span_micros(F.col("earliest_ts"), F.col("latest_ts")) / 1_000_000)
             .cast("bigint")
             .alias("span_seconds"),
-            "level_counts",
-            "status_codes",
+            bounded("level").alias("level_counts"),
+            bounded("status").alias("status_codes"),
             F.transform("_top_errors", lambda x: F.struct(x["key"].alias("message"), x["n"].alias("count"))).alias(
                 "top_errors"
             ),
@@ -212,6 +218,16 @@ def _assemble(tallies: DataFrame, formats: DataFrame, samples: DataFrame) -> Dat
     )
 
 
+def _top_keys(tallies: DataFrame, place: list[Column], k: int) -> DataFrame:
+    """The ``k`` most frequent keys of each source and kind, ties in order of appearance, with their ``place``."""
+    return first_k(tallies, ["source_path", "kind"], [F.col("n").desc(), *place, F.col("key")], k, rank="place", spread=False)
+
+
+def long_counts(tallies: DataFrame, kind: str, name: str) -> DataFrame:
+    """(source_path, <name>, n) of every key of a kind, one row each: what the bounded maps of a summary leave out too."""
+    return tallies.where(F.col("kind") == kind).select("source_path", F.col("key").alias(name), "n")
+
+
 def _sample_arrays(samples: DataFrame) -> DataFrame:
     """Bounded samples -> (source_path, kind, entries in file order)."""
     entry = F.struct("line_id", "event_ts", "event_ts_local", "level", "message", "source", "raw")

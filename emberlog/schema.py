@@ -65,3 +65,7 @@ DEFAULT_SAMPLES = 50
 MAX_SAMPLES = 1000
 TOP_K = 10
 FALLBACK_FORMAT = "universal"
+
+#: Most keys of a map in a summary row; the counts of further keys are added up under OTHER_KEYS.
+MAP_KEYS = 1000
+OTHER_KEYS = "(other)"
