@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..formats import DEFAULT_REGISTRY, FormatRegistry
 from ..formats.base import Line, LogFormat
-from ..functions.text import is_blank, strip
+from ..functions.text import WHITESPACE, is_blank, strip
 from ..functions.variants import parse_object
 from ..schema import DETECT_SAMPLE, FALLBACK_FORMAT
 from .ranking import first_k
@@ -32,6 +32,26 @@ def detect_format(
     return score_formats(head, registry)
 
 
+def detect_files(
+    spark: SparkSession,
+    paths: list[str] | str,
+    sample: int = DETECT_SAMPLE,
+    skip_blank: bool = False,
+    registry: FormatRegistry = DEFAULT_REGISTRY,
+) -> DataFrame:
+    """:func:`detect_format` for text files, of which only the first lines are read.
+
+    Files that hold no line have no row. Where only Spark can open the files, all their lines are scanned.
+    """
+    from ..sources.heads import read_heads
+    from ..sources.lines import read_lines
+
+    heads = read_heads(spark, paths, sample, WHITESPACE if skip_blank else None)
+    if heads is None:
+        return detect_format(read_lines(spark, paths), sample, skip_blank, registry)
+    return score_formats(heads.select("source_path", "line_id", "raw"), registry)
+
+
 def score_formats(head: DataFrame, registry: FormatRegistry = DEFAULT_REGISTRY) -> DataFrame:
     """Score sampled lines (source_path, line_id, raw) against every format."""
     formats = registry.detectable()

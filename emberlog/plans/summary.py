@@ -18,7 +18,7 @@ from ..functions.levels import is_error, is_warning
 from ..functions.rates import error_rate, parse_success_rate
 from ..functions.text import is_blank
 from ..operators.counts import severity_samples, span_micros
-from ..operators.detect import detect_format, with_fallback
+from ..operators.detect import detect_files, detect_format, with_fallback
 from ..operators.entries import attach_format, formats_in_use, parse_marked
 from ..operators.ranking import first_k
 from ..operators.timeseries import assemble_analytics, hourly_distribution, temporal_distribution
@@ -245,10 +245,14 @@ def summary_parts(
     use_fallback: bool = True,
     skip_blank: bool = False,
     registry: FormatRegistry = DEFAULT_REGISTRY,
+    found: DataFrame | None = None,
 ) -> SummaryParts:
-    """LINES -> what their summary is made of. Runs the detection job and the counting job."""
+    """LINES -> what their summary is made of. Runs the detection job and the counting job.
+
+    ``found`` holds formats detected already, as :func:`emberlog.operators.detect.detect_files` gives them.
+    """
     if fmt is None:
-        found = detect_format(lines, skip_blank=skip_blank, registry=registry)
+        found = detect_format(lines, skip_blank=skip_blank, registry=registry) if found is None else found
         formats = materialize(with_fallback(found.select("source_path", "format"), use_fallback))
         names = formats_in_use(formats)
         if not names:
@@ -293,6 +297,7 @@ def summarize(
     use_fallback: bool = True,
     skip_blank: bool = False,
     registry: FormatRegistry = DEFAULT_REGISTRY,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """LINES -> SUMMARY, one row per source.
 
@@ -300,7 +305,7 @@ def summarize(
     returns a frame that reads them. With ``analytics`` the columns temporal, hourly, trend_direction and
     peak_period are added, computed on the collected errors and warnings.
     """
-    parts = summary_parts(lines, fmt, k, use_fallback, skip_blank, registry)
+    parts = summary_parts(lines, fmt, k, use_fallback, skip_blank, registry, found)
     if not analytics:
         return assemble_parts(parts)
     samples = materialize(parts.samples)
@@ -311,7 +316,10 @@ def summarize(
 
 
 def analyze(spark: SparkSession, paths: list[str] | str, **options) -> DataFrame:
-    """Text files -> SUMMARY. Options as in :func:`summarize`."""
+    """Text files -> SUMMARY. Options as in :func:`summarize`. Formats are detected from the files' heads."""
     from ..sources.lines import read_lines
 
+    if options.get("fmt") is None:
+        wanted = {k: options[k] for k in ("skip_blank", "registry") if k in options}
+        options["found"] = detect_files(spark, paths, **wanted)
     return summarize(read_lines(spark, paths), **options)

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..formats import DEFAULT_REGISTRY, FormatRegistry
-from ..operators.detect import detect_format, with_fallback
+from ..operators.detect import detect_files, with_fallback
 from ..operators.entries import parse_entries
 from ..operators.ranking import first_k
 from ..runtime import materialize
 from ..schema import DETECT_SAMPLE
+from .heads import read_heads
 
 MAX_PREVIEW = 500
 _IN_TASK = (1 << 33) - 1
@@ -43,11 +44,6 @@ def ordered_ids(block: Column) -> Column:
     return block + F.when(block > 0, 1).otherwise(0) + in_task
 
 
-def first_block(lines: DataFrame) -> DataFrame:
-    """Lines of the first block of each file: enough for detection and preview of files read from text."""
-    return lines.where(F.col("block_start") == 0)
-
-
 def head_lines(lines: DataFrame, n: int = 50) -> DataFrame:
     """First ``n`` raw lines per source, blank lines included, with their ``position``."""
     if not 1 <= n <= MAX_PREVIEW:
@@ -55,6 +51,16 @@ def head_lines(lines: DataFrame, n: int = 50) -> DataFrame:
     return first_k(lines, ["source_path"], [F.col("line_id")], n, rank="position")
 
 
+def head_of_files(spark: SparkSession, paths: list[str] | str, n: int = 50) -> DataFrame:
+    """:func:`head_lines` for text files, of which only the first lines are read."""
+    if not 1 <= n <= MAX_PREVIEW:
+        raise ValueError(f"preview size must be within 1..{MAX_PREVIEW}")
+    heads = read_heads(spark, paths, n)
+    if heads is None:
+        return head_lines(read_lines(spark, paths), n)
+    return heads.withColumn("position", (F.col("line_id") + 1).cast("int"))
+
+
 def tail_lines(lines: DataFrame, n: int = 50) -> DataFrame:
     """Last ``n`` lines per source; ``position`` 1 is the last line."""
     return first_k(lines, ["source_path"], [F.col("line_id").desc()], n, rank="position")
@@ -73,6 +79,6 @@ def parse_files(
     lines = read_lines(spark, paths)
     if fmt is not None:
         return parse_entries(lines, fmt=fmt, keep_failed=False, registry=registry)
-    found = detect_format(lines, DETECT_SAMPLE, registry=registry)
+    found = detect_files(spark, paths, DETECT_SAMPLE, registry=registry)
     formats = materialize(with_fallback(found, use_fallback=False))
     return parse_entries(lines, formats, keep_failed=False, registry=registry)
