@@ -8,7 +8,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,26 +38,25 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Memo:
-    """Values by key in two generations: when the younger one is full, the older one goes."""
+class Memo(dict):
+    """Values by key, computed when missing, in two generations: when the younger one is full, the older one goes."""
 
-    def __init__(self, limit: int) -> None:
-        self.limit, self.young, self.old = limit, {}, {}
+    def __init__(self, compute: Callable[[str], bytes], limit: int) -> None:
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
 
     def turn(self) -> None:
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys that neither generation has; those of the older one become young."""
-        out = []
-        for key in keys.difference(self.young):
-            found = self.old.get(key)
-            if found is None:
-                out.append(key)
-            else:
-                self.young[key] = found
-        return out
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(key) <= KEEP_CHARS:
+            self[key] = found
+        return found
 
 
 #: Fixed value: the pre-token rule of the word vocabulary, as its file states it.
@@ -81,7 +80,8 @@ class IdEncoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
-        self.stretches, self.pieces = Memo(limit), Memo(limit)
+        self.kind: np.dtype | None = None
+        self.stretches, self.pieces = Memo(self.stretch, limit), Memo(self.piece, limit)
         names = [t["content"] for t in spec["added_tokens"]]
         stripped = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         rules = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -93,47 +93,32 @@ class IdEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, kind).tobytes() for e in found]
 
-    def piece(self, part: str, code: str) -> bytes:
+    def piece(self, part: str) -> bytes:
         """Ids of one pre-token in lower case."""
-        found = self.pieces.old.get(part)
-        if found is None:
-            text = part if part.isascii() else part.translate(self.stand_in)
-            found = array(code, [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
-        self.pieces.young[part] = found
-        return found
-
-    def fresh(self, stretches: list[str], kind: np.dtype) -> dict[str, bytes]:
-        """Ids of stretches that are not known yet."""
-        out, other, known, code = {}, [], self.pieces.young, kind.char
-        for stretch in stretches:
-            m = _PLAIN.fullmatch(stretch)
-            if m is None:
-                other.append(stretch)
-                continue
-            word, marks = m.groups()
-            ids = b""
-            if word:
-                word = word.lower()
-                ids = known.get(word) or self.piece(word, code)
-            if marks:
-                ids += known.get(marks) or self.piece(marks, code)
-            out[stretch] = ids
-        out.update(zip(other, self.batch(other, kind)))
-        return out
+        text = part if part.isascii() else part.translate(self.stand_in)
+        return array(self.kind.char, [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+
+    def stretch(self, text: str) -> bytes:
+        m = _PLAIN.fullmatch(text)
+        if m is None:
+            return self.batch([text], self.kind)[0]
+        word, marks = m.groups()
+        if not marks:
+            return self.pieces[word.lower()] if word else b""
+        return self.pieces[word.lower()] + self.pieces[marks] if word else self.pieces[marks]
 
     def encode(self, texts: list[str], kind: np.dtype) -> list[bytes]:
         if not self.by_words:
             return self.batch(texts, kind)
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        if kind != self.kind:
+            self.kind = kind
+            for memo in (self.stretches, self.pieces):
+                memo.clear()
+                memo.old = {}
         self.stretches.turn()
         self.pieces.turn()
-        every = set().union(*parts)
-        long = {w for w in every if len(w) > KEEP_CHARS}
-        known = self.stretches.young
-        known.update(self.fresh(self.stretches.missing(every - long), kind))
-        if not long:
-            return [b"".join(map(known.__getitem__, p)) for p in parts]
-        return [b"".join([known[w] if w not in long else self.batch([w], kind)[0] for w in p]) for p in parts]
+        known = self.stretches.__getitem__
+        return [b"".join(map(known, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _ENCODERS: dict[str, IdEncoder] = {}
