@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from emberlog.runtime import broadcast_if_small, materialize
 
+from .common import release
+
 MEMBERS = 2048
 ENTRIES = 4_000_000
 SMALL = 64
@@ -137,6 +139,8 @@ def task_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[l
             held.append(batch.slice(a, b - a))
     if held:
         yield columns(held)
+    held = []
+    release()
 
 
 def as_sets(column: pa.Array) -> list[np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -78,6 +79,14 @@ def mark_copies(rows: DataFrame, keys: list[str], shared: DataFrame) -> DataFram
     return rest.unionByName(many.select(*rest.columns))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on from task to task, and idle ones count too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each slice hold about ``limit`` bytes; a long text stands alone."""
     for batch in batches:
@@ -91,7 +100,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLIC
             yield batch.slice(start, stop - start)
             start = stop
         del batch
-        pa.default_memory_pool().release_unused()  # workers live on from task to task
+        pa.default_memory_pool().release_unused()
+    release()
 
 
 def text_bytes(texts: pa.Array) -> np.ndarray:

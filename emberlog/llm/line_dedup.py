@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from emberlog.runtime import broadcast_if_small, materialize
 
 from .clusters import TASK, Overlaps, as_sets, components, deal, task_groups, verify
-from .common import flat, mark_copies, pick, place, slices
+from .common import flat, mark_copies, pick, place, release, slices
 from .words import mix, word_hashes
 
 BUCKETS = 1 << 24
@@ -288,6 +288,8 @@ def runs_of_keys(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iter
         held.append(batch)
     if held:
         yield columns()
+    held = []
+    release()
 
 
 def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least: int, num: int, den: int) -> DataFrame:
