@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from emberlog.plans.summary import merge_tallies
 from emberlog.runtime import scratch_path
 from emberlog.streaming import live
+from emberlog.streaming.alerts import sustained_alert as lasting_rate
 from emberlog.streaming.growing import growing_lines
 
-from .registry import query
-from .render import EV, LOG, access_raw, events_frame, mixed_log
+from .registry import query, table
+from .render import EV, LOG, access_entries, access_raw, events_frame, mixed_log
 
 _P = "(SELECT * FROM log WHERE outcome = 'parsed')"
 
@@ -112,6 +113,33 @@ def burst_alert(spark, sf_dir):
     return alerts.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n")
 
 
+_RUNS = f"""WITH {LOG}, hours AS (SELECT level, date_trunc('hour', sec) AS h, count(*) AS n FROM {_P} GROUP BY ALL
+  HAVING count(*) > (SELECT count(*) FROM events) // 1800),
+r AS (SELECT *, h - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY level ORDER BY h) AS run FROM hours),
+k AS (SELECT *, row_number() OVER (PARTITION BY level, run ORDER BY h) AS k, lead(h) OVER (PARTITION BY level, run ORDER BY h) AS next,
+  sum(n) OVER (PARTITION BY level, run ORDER BY h ROWS 2 PRECEDING) AS last FROM r),
+found AS (SELECT level, 'firing' AS state, h + INTERVAL 1 HOUR AS "at", last AS n, h + INTERVAL 1 HOUR AS known FROM k WHERE k = 3
+  UNION ALL SELECT level, 'resolved', h + INTERVAL 1 HOUR, last, h + INTERVAL 2 HOUR FROM k WHERE k >= 3 AND next IS NULL)
+SELECT level, state, "at", CAST(n AS BIGINT) AS n FROM found"""
+
+
+@query("sustained_alert", f"{_RUNS} WHERE known <= (SELECT max(sec) - INTERVAL 2 HOUR FROM {_P})")
+def sustained_alert(spark, sf_dir):
+    """Per level, rates of more than a fixed share of all events an hour that last three hours: start and end."""
+    threshold = table(spark, sf_dir, "events").count() // 1800
+    alerts = lasting_rate(_entries(spark, sf_dir), threshold, 3, 3600, "2 hours", ("level",), errors_only=False)
+    rows, _ = _append(alerts)
+    return rows.select("level", "state", F.col("at").cast("timestamp_ntz").alias("at"), "n")
+
+
+@query("sustained_alert_batch", _RUNS)
+def sustained_alert_batch(spark, sf_dir):
+    """The same over stored entries, where every run is decided."""
+    threshold = table(spark, sf_dir, "events").count() // 1800
+    alerts = lasting_rate(access_entries(spark, sf_dir), threshold, 3, 3600, "2 hours", ("level",), errors_only=False)
+    return alerts.select("level", "state", F.col("at").cast("timestamp_ntz").alias("at"), "n")
+
+
 @query(
     "stream_summary",
     f"""WITH {LOG} SELECT 'line' AS kind, outcome AS key, count(*) AS n FROM log GROUP BY ALL
