@@ -183,10 +183,16 @@ def explode_batches(lines: DataFrame) -> DataFrame:
     return read.select(*rest, F.posexplode(records).alias("record", "raw"))
 
 
-def min_level(entries: DataFrame, level: str = "ERROR", limit: int = 20) -> DataFrame:
-    """First entries at or above a level, in file order. Words outside the five levels are dropped."""
+def min_level(entries: DataFrame, level: str = "ERROR", limit: int = 20, unknown_as_lowest: bool = False) -> DataFrame:
+    """First entries at or above a level, in file order.
+
+    Words outside the five levels, and a missing level, are dropped; with ``unknown_as_lowest`` they rank as the lowest.
+    """
     floor = LEVELS.index(level)
-    hits = entries.where(F.col("parsed") & (level_rank(F.col("level")) >= floor))
+    rank = level_rank(F.col("level"))
+    if unknown_as_lowest:
+        rank = F.coalesce(rank, F.lit(0))
+    hits = entries.where(F.col("parsed") & (rank >= floor))
     return hits.orderBy("source_path", "line_id").limit(limit)
 
 

@@ -362,6 +362,8 @@ def test_python_patterns_filter(lines_of, pattern, hits):
 def test_unknown_level_is_below_every_floor(lines_of):
     entries = ops.parse_entries(lines_of(['{"level":"odd","message":"x"}', '{"level":"error","message":"y"}']), fmt="json")
     assert [r["message"] for r in ops.min_level(entries, "DEBUG").collect()] == ["y"]
+    assert ops.min_level(entries, "DEBUG", unknown_as_lowest=True).count() == entries.where("parsed").count() > 1
+    assert [r["message"] for r in ops.min_level(entries, "INFO", unknown_as_lowest=True).collect()] == ["y"]
 
 
 def test_row_two_batches_late_is_dropped(spark, tmp_path):
