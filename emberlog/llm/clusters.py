@@ -15,7 +15,7 @@ from emberlog.runtime import broadcast_if_small, materialize
 from .common import release
 
 MEMBERS = 2048
-ENTRIES = 4_000_000
+ENTRIES = 2_000_000
 SMALL = 64
 
 
@@ -72,17 +72,18 @@ TASK = ["root", "band", "i", "j", "part", "side", "node"]
 
 
 class Overlaps:
-    """Exact overlaps among sorted sets by an inverted index."""
+    """Exact overlaps among sorted sets by an inverted index, which takes the place of the list ``sets``."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.n = len(sets)
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.ends = np.cumsum(self.sizes)
         flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
+        sets.clear()
+        order = np.argsort(flat, kind="stable").astype(np.int32 if len(flat) < 1 << 31 else np.int64)
         new = np.ones(len(flat), bool)
-        new[1:] = flat[1:] != flat[:-1]
+        flat = flat[order]
+        np.not_equal(flat[1:], flat[:-1], out=new[1:])
         del flat
         self.posting = np.repeat(np.arange(self.n, dtype=np.int32), self.sizes)[order]
         self.token = np.empty(len(order), np.int32)
@@ -116,11 +117,15 @@ class Overlaps:
 
 
 def task_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
-    """Rows (as lists of columns) of each run of equal values in the first ``keys`` columns; runs may cross batches."""
+    """Rows (as lists of columns) of each run of equal values in the first ``keys`` columns; runs may cross batches.
+
+    Nothing else holds the columns, so a caller that empties the list frees them.
+    """
     held: list[pa.RecordBatch] = []
 
-    def columns(parts: list[pa.RecordBatch]) -> list:
-        table = pa.Table.from_batches(parts)
+    def columns() -> list:
+        table = pa.Table.from_batches(held)
+        held.clear()
         return [c.combine_chunks() for c in table.columns]
 
     last = None
@@ -133,21 +138,21 @@ def task_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[l
         for a, b in zip(bounds[:-1], bounds[1:]):
             here = tuple(key[:, a])
             if held and here != last:
-                yield columns(held)
-                held = []
+                yield columns()
             last = here
             held.append(batch.slice(a, b - a))
     if held:
-        yield columns(held)
-    held = []
+        yield columns()
     release()
 
 
-def as_sets(column: pa.Array) -> list[np.ndarray]:
-    """The lists of a column as unsigned 64-bit arrays, without copies."""
+def taken_sets(group: list, at: np.ndarray) -> list[np.ndarray]:
+    """Rows ``at`` of the last column, lists, as unsigned 64-bit arrays without copies; the group is emptied."""
+    column = group[-1]
+    group.clear()
     values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-    return np.split(values, ends[:-1])
+    every = np.split(values, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+    return [every[k] for k in at]
 
 
 class Forest:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from emberlog.runtime import broadcast_if_small, materialize
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -87,6 +90,26 @@ def release() -> None:
         trim(0)
 
 
+def in_small_batches(work: Callable) -> Callable:
+    """Let all that ``work(docs, ...)`` runs at once hand rows to Python in batches of BATCH_BYTES at most.
+
+    Executor and worker both hold a batch, and lists of whole sets fill the usual one of 64 MB. The session's own
+    setting is put back at the end.
+    """
+
+    @functools.wraps(work)
+    def run(docs: DataFrame, *args, **kwargs):
+        conf = docs.sparkSession.conf
+        before = conf.get(BATCH_SETTING)
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+        try:
+            return work(docs, *args, **kwargs)
+        finally:
+            conf.set(BATCH_SETTING, before)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each slice hold about ``limit`` bytes; a long text stands alone."""
     for batch in batches:

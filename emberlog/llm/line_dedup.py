@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from emberlog.runtime import broadcast_if_small, materialize
 
-from .clusters import TASK, Overlaps, as_sets, components, deal, task_groups, verify
-from .common import flat, mark_copies, pick, place, release, slices
+from .clusters import TASK, Overlaps, components, deal, taken_sets, task_groups, verify
+from .common import flat, in_small_batches, mark_copies, pick, place, release, slices
 from .words import mix, word_hashes
 
 BUCKETS = 1 << 24
@@ -315,10 +315,10 @@ def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least:
     tasks = tasks.join(with_sets, "node").select(*TASK, "doc", "hash", "line", "set")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, i, j, part, side, node, doc, text, line, lists in task_groups(batches, 4):
+        for group in task_groups(batches, 4):
+            _, _, i, j, part, side, node, doc, text, line = group[:10]
             ids, at = np.unique(node.to_numpy(), return_index=True)
-            every = as_sets(lists)
-            index, part, side = Overlaps([every[k] for k in at]), part.to_numpy()[at], side.to_numpy()[at]
+            index, part, side = Overlaps(taken_sets(group, at)), part.to_numpy()[at], side.to_numpy()[at]
             docs_at, texts_at, lines_at = doc.to_numpy()[at], text.to_numpy()[at], line.to_numpy()[at]
             place_of = np.empty(len(ids), np.int64)
             by_place = np.lexsort((lines_at, texts_at, docs_at))
@@ -385,6 +385,7 @@ def shared_keys(found: DataFrame) -> DataFrame:
     return materialize(counts.where("n > 1").select("doc_id", "hash"))
 
 
+@in_small_batches
 def removals(rows: DataFrame, num: int, den: int, least_words: int) -> tuple[DataFrame, DataFrame]:
     """Documents with their lines, and (doc, _text, removed): the repeated lines of each id and text hash."""
     key = keyed(F.col("doc_id"), F.col("text"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from emberlog.runtime import broadcast_if_small, materialize
 
-from .clusters import TASK, Forest, Overlaps, as_sets, components, deal, task_groups, verify
-from .common import flat, mark_copies, pick, place, row_key, slices
+from .clusters import TASK, Forest, Overlaps, components, deal, taken_sets, task_groups, verify
+from .common import flat, in_small_batches, mark_copies, pick, place, row_key, slices
 from .words import mix, word_hashes
 
 SLICE = 2 << 20
@@ -217,6 +217,7 @@ def candidate_edges(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "u bigint, v bigint")
 
 
+@in_small_batches
 def similar_sets(docs: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Signatures of all documents, and (node, root, n_links) of all sets that are linked with another set."""
     found = materialize(signatures(docs, shingle))
@@ -244,10 +245,10 @@ def similar_sets(docs: DataFrame, shingle: int, num: int, den: int) -> tuple[Dat
     tasks = dealt.select(*TASK).join(with_sets, "node").select(*TASK, "set")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, i, j, part, side, node, lists in task_groups(batches, 4):
+        for group in task_groups(batches, 4):
+            _, _, i, j, part, side, node = group[:7]
             ids, at = np.unique(node.to_numpy(), return_index=True)
-            every = as_sets(lists)
-            index, part, side = Overlaps([every[k] for k in at]), part.to_numpy()[at], side.to_numpy()[at]
+            index, part, side = Overlaps(taken_sets(group, at)), part.to_numpy()[at], side.to_numpy()[at]
             cross = i[0].as_py() != j[0].as_py()
             forest, links = Forest(len(ids)), np.zeros(len(ids), np.int64)
             for k in range(len(ids)):
