@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlog.plans.summary import merge_tallies
-from emberlog.runtime import scratch_path
+from emberlog.runtime import materialize, scratch_path
 from emberlog.streaming import live
 from emberlog.streaming.alerts import sustained_alert as lasting_rate
 from emberlog.streaming.growing import growing_lines
@@ -277,9 +277,8 @@ SELECT count(*) AS n FROM r WHERE k <= 50 AND outcome <> 'blank'""",
 def tail_batches(spark, sf_dir):
     """The last fifty lines of one landed file, blank ones left out."""
     landing, out = scratch_path(spark, "landing"), scratch_path(spark, "tail")
-    events_frame(spark, sf_dir).select(F.col("event_id"), access_raw().alias("value")).repartitionByRange(1, "event_id").sortWithinPartitions(
-        "event_id"
-    ).select("value").write.text(landing)
+    ordered = materialize(events_frame(spark, sf_dir).select("event_id", access_raw().alias("value")).orderBy("event_id"))
+    ordered.select("value").coalesce(1).write.text(landing)  # sorted in parts; one task only copies them, in order
 
     def sink(rows, batch_id):
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

@@ -43,15 +43,15 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
 
 
-def deal(members: DataFrame, size: str, ratio: float) -> DataFrame:
+def deal(members: DataFrame, size: str, ratio: float, most: int = MEMBERS, entries: int = ENTRIES) -> DataFrame:
     """Deal cluster members to tasks: adds ``band``, ``i``, ``j``, ``part`` and ``side`` to rows (node, root, ...).
 
-    A cluster within MEMBERS rows and ENTRIES set entries is one task. A larger one, if its sets have more than SMALL
+    A cluster within ``most`` rows and ``entries`` set entries is one task. A larger one, if its sets have more than SMALL
     entries on average (smaller ones cost less to copy than to class), is first cut by set size: sets that differ in size by more than ``ratio`` cannot be similar, so classes of that ratio only meet
     themselves and the next class, whose rows come along as ``side`` 1. A task that is still larger is cut into
     blocks by node hash, and each pair of blocks is a task. No pair is lost and no task is larger.
     """
-    need = F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum(size) / ENTRIES)
+    need = F.greatest(F.count(F.lit(1)) / most, F.sum(size) / entries)
     totals = members.groupBy("root").agg(((need > 1) & (F.avg(size) > SMALL)).alias("_large"))
     rows = members.join(broadcast_if_small(totals, 100_000), "root")
     own = F.floor(F.log(F.col(size)) / math.log(ratio)).cast("int")

@@ -23,6 +23,8 @@ BLOCK = 1 << 13
 HOT = 1 << 15
 SLICE = 2 << 20
 NO_ID = -(1 << 63)
+#: Sizes and places of tokens are kept up to here; such rows meet without the filters that need them.
+WIDE = (1 << 16) - 1
 _KEEP = np.uint64((1 << 63) - 1)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -151,11 +153,12 @@ def rarity_codes(counted: DataFrame) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, least: int, num: int, den: int, codes: np.ndarray) -> DataFrame:
-    """(key, node, shape, low, high): for each different line of a slice its rarest tokens, as far as needed.
+    """(key, node, low, high): for each different line of a slice its rarest tokens, as far as needed.
 
     With tokens in order of rarity, two lines of similarity num / den share one of the first
     size - ceil(size num / den) + 1 tokens of each. Tokens that occur once cannot be shared and give no row.
-    ``shape`` is the size and the token's position. ``low`` and ``high`` are a 128-bit parity map of the tokens:
+    ``key`` holds 32 bits of the token, the line's size and the token's position, so rows of a token are in order of
+    size. ``low`` and ``high`` are a 128-bit parity map of the tokens:
     lines that differ in d tokens differ in d bits at most. Keys of tokens with more than HOT lines are cut
     into pairs of blocks of lines.
     """
@@ -193,11 +196,12 @@ def prefix_rows(docs: DataFrame, least: int, num: int, den: int, codes: np.ndarr
                 a, b = np.minimum(own, other), np.maximum(own, other)
                 key = tokens[pick_rows] ^ np.where(n > 1, mix((a * n + b + 1).astype(np.uint64)), np.uint64(0))
                 line, node, position = line[pick_rows], node[pick_rows], position[pick_rows]
-            shape = (got.size[line].astype(np.int64) << 32) | position
-            columns = [key.view(np.int64), node, shape, low[line].view(np.int64), high[line].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "shape", "low", "high"])
+            shape = (np.minimum(got.size[line], WIDE) << 16) | np.minimum(position, WIDE)
+            key = (key & ~np.uint64(0xFFFFFFFF)) | shape.astype(np.uint64)
+            columns = [key.view(np.int64), node, low[line].view(np.int64), high[line].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "low", "high"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, node bigint, shape bigint, low bigint, high bigint")
+    return docs.select("text").mapInArrow(run, "key bigint, node bigint, low bigint, high bigint")
 
 
 def star_edges(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,31 +223,36 @@ def star_edges(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidate_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): stars over lines that share a prefix token and pass the length, positional and parity filters."""
+    """(u, v): stars over lines that share a prefix token and pass the length, positional and parity filters.
+
+    Similar lines share tokens enough to follow the first shared one in both, so only pairs with that room count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs_of_keys(batches):
-            key, node, shape, low, high = without_copies(part)
+            key, node, low, high = without_copies(part)
             low, high = low.view(np.uint64), high.view(np.uint64)
-            size, position = shape >> 32, shape & ((1 << 32) - 1)
-            last = np.append(np.flatnonzero(key[1:] != key[:-1]), len(key) - 1)
+            size, position = (key >> 16) & WIDE, key & WIDE
+            token = key >> 32
+            last = np.append(np.flatnonzero(token[1:] != token[:-1]), len(key) - 1)
             end = last[np.searchsorted(last, np.arange(len(key)))] + 1
             one, found, lag = np.arange(len(key)), [], 0
             pending = 0
             while len(one):
                 lag += 1
                 one = one[one + lag < end[one]]
+                one = one[size[one] * den >= size[one + lag] * num]  # sizes grow along a run
                 two = one + lag
                 m, n = size[one], size[two]
                 both = m + n
                 least = -(-num * both // (num + den))
                 i, j = position[one], position[two]
-                ok = np.minimum(m, n) * den >= np.maximum(m, n) * num
-                ok &= np.minimum(i, j) + 1 + np.minimum(m - i, n - j) - 1 >= least
-                ok &= node[one] != node[two]
+                ok = (m - i >= least) & (n - j >= least)
+                wide = n == WIDE
+                ok = (ok | wide) & (node[one] != node[two])
                 a, b = one[ok], two[ok]
                 bits = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
-                near = bits <= both[ok] - 2 * least[ok]
+                near = (bits <= (both - 2 * least)[ok]) | wide[ok]
                 if near.any():
                     found.append((node[a[near]], node[b[near]]))
                     pending += int(near.sum())
@@ -254,7 +263,8 @@ def candidate_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
                 u, v = star_edges(*map(np.concatenate, zip(*found)))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u bigint, v bigint")
+    dealt = rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
 def without_copies(part: list[pa.Array]) -> list[np.ndarray]:
@@ -266,7 +276,7 @@ def without_copies(part: list[pa.Array]) -> list[np.ndarray]:
 
 
 def runs_of_keys(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[pa.Array]]:
-    """Consecutive rows in parts of about ``rows``, never cutting a run of equal keys."""
+    """Consecutive rows in parts of about ``rows``, never cutting a run of one token, the upper 32 bits of the key."""
     held: list[pa.RecordBatch] = []
 
     def columns() -> list[pa.Array]:
@@ -276,8 +286,8 @@ def runs_of_keys(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iter
         if not batch.num_rows:
             continue
         if sum(b.num_rows for b in held) >= rows:
-            key = batch.column(0).to_numpy()
-            tail = held[-1].column(0)[-1].as_py()
+            key = batch.column(0).to_numpy() >> 32
+            tail = held[-1].column(0)[-1].as_py() >> 32
             cut = int(np.argmax(key != tail)) if (key != tail).any() else len(key)
             if cut:
                 held.append(batch.slice(0, cut))
@@ -297,7 +307,7 @@ def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least:
 
     ``first`` holds (node, at, size) with the earliest place of each set.
     """
-    members = materialize(components(edges).join(first, "node"))
+    members = materialize(first.join(broadcast_if_small(materialize(components(edges))), "node"))
     wanted = members.groupBy(F.col("at.doc").alias("_doc"), F.col("at.hash").alias("_text")).agg(F.collect_list("node").alias("wanted"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,14 +409,14 @@ def removals(rows: DataFrame, num: int, den: int, least_words: int) -> tuple[Dat
     first = materialize(sized.groupBy("node").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size")))
     at_least = least_near(least_words, num, den)
     if at_least is None:
-        best = first.withColumn("_near", F.lit(None).cast(first.schema["at"].dataType))
+        best = first.where("n > 1").select("node", F.col("at").alias("_best"))
     else:
         codes = rarity_codes(both.where(F.col("block").isNotNull()))
         edges = candidate_edges(prefix_rows(rows, at_least, num, den, codes), num, den)
         near = earliest_similar(rows, first.select("node", "at", "size"), edges, at_least, num, den)
-        best = first.join(materialize(near).select("node", F.col("at").alias("_near")), "node", "left")
-    best = best.where((F.col("n") > 1) | F.col("_near").isNotNull()).select("node", F.least("at", "_near").alias("_best"))
-    gone = lines.join(best, "node").where(at > F.col("_best")).groupBy("doc", F.col("hash").alias("_text"))
+        best = first.where("n > 1").select("node", "at").union(materialize(near).select("node", "at"))
+        best = best.groupBy("node").agg(F.min("at").alias("_best"))
+    gone = lines.join(broadcast_if_small(materialize(best)), "node").where(at > F.col("_best")).groupBy("doc", F.col("hash").alias("_text"))
     return found, gone.agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 

@@ -19,6 +19,10 @@ from .words import mix, word_hashes
 
 SLICE = 2 << 20
 RATIO = 1.25
+#: A sketch counts a set's elements in so many parts of the universe (BIG ones in more, as counts of few tell little);
+#: it is looked at from coarse to fine. A task compares SKETCHES of them.
+COARSE, SKETCH, FINEST, BIG = 32, 256, 2048, 2048
+SKETCHES = 8192
 #: What the cost model takes for unrelated documents: the share of pairs that have much in common, and how much.
 ALIKE_SHARE, ALIKE = 1e-4, 0.5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -55,6 +59,16 @@ def set_id(one: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64))[0] & _KEEP)
 
 
+def sketch(one: np.ndarray) -> bytes:
+    """How many elements a sorted set has in each of SKETCH (from BIG elements on FINEST) equal parts of the universe.
+
+    255 stands for more.
+    """
+    parts = FINEST if len(one) >= BIG else SKETCH
+    count = np.bincount((one >> np.uint64(65 - parts.bit_length())).astype(np.int64), minlength=parts)
+    return np.minimum(count, 255).astype(np.uint8).tobytes()
+
+
 @dataclass(frozen=True)
 class Band:
     """How sets whose smaller partner has ``low`` to ``high`` elements are indexed.
@@ -151,15 +165,17 @@ def band_keys(one: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, node): size of each document's set and the set's id, null for an empty set."""
+    """(doc_id, n, node, sketch): size of each document's set, the set's id and sketch, null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, SLICE):
             sets = shingle_sets(part.column(1), shingle)
             ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), ids], ["doc_id", "n", "node"])
+            counts = pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())
+            arrays = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), ids, counts]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "node", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, node bigint")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, node bigint, sketch binary")
 
 
 def index_keys(docs: DataFrame, shingle: int, plan: list[Band]) -> DataFrame:
@@ -217,6 +233,66 @@ def candidate_edges(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "u bigint, v bigint")
 
 
+def sieve(members: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, root): the connected groups of candidates once pairs with sketches too far apart are left out.
+
+    ``members`` holds (node, root, n). Two sets differ in as many elements as the counts of their sketches differ by,
+    at least, so no similar pair is left out. Passages that many documents share connect unlike sets to groups
+    that grow faster than the input; here only sketches of those are moved and copied, not sets.
+    """
+    wanted = broadcast_if_small(members.select("node"), 200_000)
+    sketches = found.where("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    dealt = deal(members, "n", 1.01 * den / num, SKETCHES, 1 << 62)
+    tasks = dealt.select(*TASK, "n").join(sketches, "node").select(*TASK, "n", "sketch")
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in task_groups(batches, 4):
+            _, _, i, j, part, side, node, n, counts = group
+            ids, at = np.unique(node.to_numpy(), return_index=True)
+            part, side, n = part.to_numpy()[at], side.to_numpy()[at], n.to_numpy()[at]
+            sketches = [np.frombuffer(counts[int(k)].as_buffer(), np.uint8) for k in at]
+            cross = i[0].as_py() != j[0].as_py()
+            heads = near_sketches(sketches, n, num, den, part if cross else None, side)
+            moved = np.flatnonzero(heads != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[heads[moved]])], ["u", "v"])
+
+    return components(verify(tasks, body, "u bigint, v bigint"))
+
+
+def near_sketches(sketches: list[np.ndarray], n: np.ndarray, num: int, den: int, part: np.ndarray | None, side: np.ndarray) -> np.ndarray:
+    """For each set a member of its group: what pairs connect whose sizes and sketches allow a similarity of num / den.
+
+    With ``part`` only pairs of different parts count; pairs of two rows of side 1 are another task's.
+    """
+    order = np.argsort(n, kind="stable")
+    size, side = n[order], side[order]
+    part = None if part is None else part[order]
+    fine = np.empty((len(order), SKETCH), np.int16)
+    for k, at in enumerate(order.tolist()):  # counts of joined parts, which again are 255 at most
+        fine[k] = np.minimum(sketches[at].reshape(SKETCH, -1).sum(axis=1), 255)
+    coarse = fine.reshape(len(fine), COARSE, -1).sum(axis=2, dtype=np.int16)
+    big = int(np.searchsorted(size, BIG))
+    finest = np.array([sketches[at] for at in order[big:].tolist()], np.int16).reshape(-1, FINEST)
+    ends = np.searchsorted(size * num, size * den, side="right")
+    label = np.arange(len(order))
+    for a in range(len(order)):
+        b = a + 1 + np.flatnonzero(label[a + 1 : ends[a]] != label[a])  # what is connected already needs no look
+        if side[a]:
+            b = b[side[b] == 0]
+        if part is not None:
+            b = b[part[b] != part[a]]
+        for counts, start in ((coarse, 0), (fine, 0), (finest, big)):
+            if a < start or not len(b):
+                break
+            apart = np.abs(counts[b - start] - counts[a - start]).sum(axis=1, dtype=np.int64)
+            b = b[(den + num) * apart <= (den - num) * (size[a] + size[b])]
+        for other in np.unique(label[b]):
+            label[label == other] = label[a]
+    heads = np.empty_like(order)
+    heads[order] = order[label]
+    return heads
+
+
 @in_small_batches
 def similar_sets(docs: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Signatures of all documents, and (node, root, n_links) of all sets that are linked with another set."""
@@ -229,6 +305,7 @@ def similar_sets(docs: DataFrame, shingle: int, num: int, den: int) -> tuple[Dat
     graph = components(candidate_edges(index_keys(docs, shingle, plan)))
     first = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     members = materialize(graph.join(first, "node"))
+    members = materialize(sieve(members, found, num, den).join(members.drop("root"), "node"))
     dealt = deal(members, "n", 1.01 * den / num)
     dealt = materialize(dealt)
 

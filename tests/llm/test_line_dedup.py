@@ -161,3 +161,14 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in sf_documents(spark).collect()]
     got = queries.op10_line_dedup(spark, SF).collect()
     assert {r.doc_id: (r.n_lines, r.removed) for r in got} == brute(rows)
+
+
+def test_only_pairs_with_room_behind_the_shared_token_are_candidates(spark):
+    def row(token, size, position, node):
+        return (token << 32) | (size << 16) | position, node, 0, 0
+
+    wide = line_dedup.WIDE
+    rows = [row(1, 20, 0, 1), row(1, 20, 1, 2), row(2, 20, 3, 3), row(2, 20, 3, 4), row(3, wide, wide, 5), row(3, wide, wide, 6)]
+    frame = spark.createDataFrame(rows, "key bigint, node bigint, low bigint, high bigint")
+    edges = {frozenset(r) for r in line_dedup.candidate_edges(frame, 80, 100).collect()}
+    assert edges == {frozenset({1, 2}), frozenset({5, 6})}

@@ -174,3 +174,19 @@ def test_words_that_cancel_out_in_polynomials(spark):
         rows = [(1, word), (2, other), (3, f"{word} x y"), (4, f"{other} x y")]
         assert all(r.component_id == r.doc_id for r in ngram_join.ngram_join(frame(spark, rows)).collect())
         assert ngram_join.keep_firsts(frame(spark, rows)).count() == 4
+
+
+def test_a_shared_passage_does_not_group_unlike_sets():
+    rng = np.random.default_rng(3)
+
+    def made(n):
+        return rng.integers(0, 1 << 64, n, dtype=np.uint64)
+
+    passage, big_passage = made(80), made(800)
+    sets = [np.unique(np.concatenate([passage, made(320)])) for _ in range(30)]
+    sets += [np.unique(np.concatenate([big_passage, made(6000)])) for _ in range(6)]
+    sets += [np.unique(np.concatenate([s[:-10], made(10)])) for s in sets]
+    sketches = [np.frombuffer(ngram_join.sketch(s), np.uint8) for s in sets]
+    heads = ngram_join.near_sketches(sketches, np.array([len(s) for s in sets]), 80, 100, None, np.zeros(len(sets), np.int64))
+    half = len(sets) // 2
+    assert (heads[:half] == heads[half:]).all() and len(set(heads.tolist())) == half
