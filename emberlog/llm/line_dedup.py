@@ -89,6 +89,20 @@ def read_lines(texts: pa.Array, least: int) -> Lines:
     return Lines(doc, number, tokens, first, size, node.view(np.int64), in_doc)
 
 
+def chosen_lines(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+    """The lines of each text that its list of numbers, from 0, names: a text each, in order."""
+    data, starts = flat(texts)
+    line_starts = np.unique(np.concatenate([starts[:-1], np.flatnonzero(data == 10) + 1]))
+    lists = numbers.value_lengths().to_numpy(zero_copy_only=False)
+    at = np.repeat(np.searchsorted(line_starts, starts[:-1]), lists) + numbers.flatten().to_numpy(zero_copy_only=False)
+    chosen = np.zeros(len(line_starts), bool)
+    chosen[at] = True
+    length = np.diff(np.append(line_starts, len(data)))
+    kept = pa.py_buffer(data[np.repeat(chosen, length)])
+    ends = np.concatenate([[0], np.cumsum(length[chosen])]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), kept)
+
+
 def numbered_lines(docs: DataFrame, least: int) -> DataFrame:
     """One scan for two kinds of rows: the lines of each document, and counts of the tokens of each task.
 
@@ -100,8 +114,7 @@ def numbered_lines(docs: DataFrame, least: int) -> DataFrame:
         total = np.zeros(BUCKETS, np.uint32)
         for part in slices(batches, 1, SLICE):
             got = read_lines(part.column(1), least)
-            some, n = np.unique(got.tokens >> _SHIFT, return_counts=True)
-            total[some.astype(np.int64)] += n.astype(np.uint32)
+            np.add.at(total, (got.tokens >> _SHIFT).astype(np.int64), np.uint32(1))
             cut = np.searchsorted(got.doc, np.arange(part.num_rows + 1)).astype(np.int32)
             arrays = [
                 part.column(0),
@@ -308,15 +321,14 @@ def earliest_similar(docs: DataFrame, first: DataFrame, edges: DataFrame, least:
     ``first`` holds (node, at, size) with the earliest place of each set.
     """
     members = materialize(first.join(broadcast_if_small(materialize(components(edges))), "node"))
-    wanted = members.groupBy(F.col("at.doc").alias("_doc"), F.col("at.hash").alias("_text")).agg(F.collect_list("node").alias("wanted"))
+    wanted = members.groupBy(F.col("at.doc").alias("_doc"), F.col("at.hash").alias("_text")).agg(F.collect_list("at.line").alias("wanted"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0, SLICE):
-            got, lists = read_lines(part.column(0), least), part.column(1).to_pylist()
-            asked = [set(x) for x in lists]
-            rows = [k for k, (d, n) in enumerate(zip(got.doc.tolist(), got.node.tolist())) if n in asked[d]]
-            values = [got.tokens[got.first[k] : got.first[k] + got.size[k]].view(np.int64) for k in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(got.node[rows]), pa.array(values, pa.list_(pa.int64()))], ["node", "set"])
+            got = read_lines(chosen_lines(part.column(0), part.column(1)), least)
+            cut = np.append(got.first, len(got.tokens)).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(cut), pa.array(got.tokens.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(got.node), values], ["node", "set"])
 
     same = (F.col("doc_id") == F.col("_doc")) & (F.col("hash") == F.col("_text"))
     texts = docs.join(broadcast_if_small(materialize(wanted)), same).select("text", "wanted")

@@ -61,12 +61,16 @@ def hash_runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndar
     while i < len(begins):
         j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK_BYTES, side="right")))
         n = sizes[i:j]
-        steps = (n + 7) >> 3
-        first = np.cumsum(steps) - steps
-        step = np.arange(int(steps.sum())) - np.repeat(first, steps)
-        left = np.minimum(np.repeat(n, steps) - 8 * step, 8)
-        values = eight[np.repeat(begins[i:j], steps) + 8 * step] & _TAIL[left]
-        out[i:j] = mix(np.add.reduceat(mix(values + (step + 1).astype(np.uint64) * _PLACE), first) ^ n.astype(np.uint64))
+        summed = mix((eight[begins[i:j]] & _TAIL[np.minimum(n, 8)]) + _PLACE)
+        longer = np.flatnonzero(n > 8)
+        if len(longer):
+            steps = (n[longer] - 1) >> 3
+            first = np.cumsum(steps) - steps
+            step = np.arange(1, int(steps.sum()) + 1) - np.repeat(first, steps)
+            left = np.minimum(np.repeat(n[longer], steps) - 8 * step, 8)
+            values = eight[np.repeat(begins[i:j][longer], steps) + 8 * step] & _TAIL[left]
+            summed[longer] += np.add.reduceat(mix(values + (step + 1).astype(np.uint64) * _PLACE), first)
+        out[i:j] = mix(summed ^ n.astype(np.uint64))
         i = j
     return out
 

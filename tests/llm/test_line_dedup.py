@@ -172,3 +172,12 @@ def test_only_pairs_with_room_behind_the_shared_token_are_candidates(spark):
     frame = spark.createDataFrame(rows, "key bigint, node bigint, low bigint, high bigint")
     edges = {frozenset(r) for r in line_dedup.candidate_edges(frame, 80, 100).collect()}
     assert edges == {frozenset({1, 2}), frozenset({5, 6})}
+
+
+def test_only_wanted_lines_are_read_again():
+    texts = pa.array(["a b\nc\n\nd e f", "", None, "\n", "x\n", "last", "q\nr\n"])
+    wanted = pa.array([[0, 3], [], [], [], [0], [0], [1]], pa.list_(pa.int32()))
+    assert line_dedup.chosen_lines(texts, wanted).to_pylist() == ["a b\n", "d e f", "x\n", "last", "r\n"]
+    whole, part = line_dedup.read_lines(texts, 1), line_dedup.read_lines(line_dedup.chosen_lines(texts, wanted), 1)
+    kept = [k for k, (d, n) in enumerate(zip(whole.doc, whole.number)) if n in wanted[int(d)].as_py()]
+    assert whole.node[kept].tolist() == part.node.tolist()
