@@ -122,7 +122,7 @@ def test_paced_replay_goes_on_at_its_line(spark, tmp_path):
     assert max(map(len, seen)) == 5 and sum(map(len, seen)) < 40
     play(10, 40)
     played = [m for batch in seen for m in batch]
-    assert list(dict.fromkeys(played)) == [f"GET /{i}" for i in range(40)]
+    assert list(dict.fromkeys(played)) == [f"GET /{i} HTTP/1.1" for i in range(40)]
     with pytest.raises(ValueError):
         live.replay_paced(spark, str(landing), print, "o", "p", "apache_access", 3)
 
