@@ -1,8 +1,9 @@
 """Per-source summary of log files: one parse pass for all counts; samples parse only the blocks that hold them.
 
 The counting pass turns every line into a few (kind, key) rows and aggregates them together, so line
-counts, levels, status codes, sources, error messages and the time range cost one scan, one parse and one
-shuffle. The result, one row per distinct key, is stored once; rankings and totals read it from there.
+counts, levels, status codes, sources, error messages, the time range and, on request, the errors and
+warnings over time cost one scan, one parse and one shuffle. The result, one row per distinct key, is
+stored once; rankings and totals read it from there.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..operators.counts import severity_samples, span_micros
 from ..operators.detect import detect_files, detect_format, with_fallback
 from ..operators.entries import attach_format, formats_in_use, parse_marked
 from ..operators.ranking import first_k
-from ..operators.timeseries import assemble_analytics, hourly_distribution, temporal_distribution
+from ..operators.timeseries import DEFAULT_BUCKET, assemble_analytics, hourly_distribution, slot_start, temporal_distribution
 from ..runtime import broadcast_if_small, materialize
 from ..schema import DEFAULT_SAMPLES, MAP_KEYS, OTHER_KEYS, TOP_K
 
@@ -31,12 +32,17 @@ _BY_BLOCK = ("error_block", "warning_block")
 
 
 def tally(
-    marked: DataFrame, names: list[str], registry: FormatRegistry = DEFAULT_REGISTRY, by_block: bool = False
+    marked: DataFrame,
+    names: list[str],
+    registry: FormatRegistry = DEFAULT_REGISTRY,
+    by_block: bool = False,
+    bucket: str | None = None,
 ) -> DataFrame:
     """Lines with ``format`` -> (source_path, kind, key, n, first_line, earliest_ts, latest_ts).
 
     Kinds: ``line`` (blank, parsed, failed), ``level``, ``status``, ``source``, ``error`` (message). With
-    ``by_block`` also ``error_block`` and ``warning_block``, counts of those lines by block start.
+    ``by_block`` also ``error_block`` and ``warning_block``, counts of those lines by block start. With ``bucket``
+    also ``activity``, counts of errors and warnings by the slot of their wall clock (see :func:`slot_start`).
     """
     entries = parse_marked(marked, names, registry)
     ok, level = F.col("parsed"), F.col("level")
@@ -55,6 +61,11 @@ def tally(
     if by_block:
         block = F.col("block_start").cast("string")
         pairs += [pair("error_block", F.when(ok & is_error(level), block)), pair("warning_block", F.when(ok & is_warning(level), block))]
+    if bucket is not None:
+        # A column of its own, so that the clock is read once, and of errors and warnings only.
+        severe = ok & (is_error(level) | is_warning(level))
+        entries = entries.withColumn("_at", F.when(severe, F.col("event_ts_local")))
+        pairs.append(pair("activity", slot_start(F.col("_at"), bucket).cast("string")))
     rows = (
         entries.select("source_path", "line_id", "event_ts", F.explode(F.array(*pairs)).alias("p"))
         .where(F.col("p.key").isNotNull())
@@ -228,6 +239,12 @@ def long_counts(tallies: DataFrame, kind: str, name: str) -> DataFrame:
     return tallies.where(F.col("kind") == kind).select("source_path", F.col("key").alias(name), "n")
 
 
+def activity(tallies: DataFrame) -> DataFrame:
+    """(source_path, event_ts_local, n): errors and warnings per slot, from tallies made with a ``bucket``."""
+    slots = tallies.where(F.col("kind") == "activity")
+    return slots.select("source_path", F.col("key").cast("timestamp_ntz").alias("event_ts_local"), "n")
+
+
 def _sample_arrays(samples: DataFrame) -> DataFrame:
     """Bounded samples -> (source_path, kind, entries in file order)."""
     entry = F.struct("line_id", "event_ts", "event_ts_local", "level", "message", "source", "raw")
@@ -246,10 +263,12 @@ def summary_parts(
     skip_blank: bool = False,
     registry: FormatRegistry = DEFAULT_REGISTRY,
     found: DataFrame | None = None,
+    bucket: str | None = None,
 ) -> SummaryParts:
     """LINES -> what their summary is made of. Runs the detection job and the counting job.
 
     ``found`` holds formats detected already, as :func:`emberlog.operators.detect.detect_files` gives them.
+    With ``bucket`` the tallies also hold the errors and warnings over time.
     """
     if fmt is None:
         found = detect_format(lines, skip_blank=skip_blank, registry=registry) if found is None else found
@@ -265,11 +284,11 @@ def summary_parts(
         formats = None
     content = marked.where(~is_blank(F.col("raw")))
     if "block_start" in lines.columns:
-        counted = materialize(tally(marked, names, registry, by_block=True))
+        counted = materialize(tally(marked, names, registry, by_block=True, bucket=bucket))
         tallies = counted.where(~F.col("kind").isin(*_BY_BLOCK))
         content = content.join(broadcast_if_small(_sampled_blocks(counted, k)), ["source_path", "block_start"], "left_semi")
     else:
-        tallies = materialize(tally(marked, names, registry))
+        tallies = materialize(tally(marked, names, registry, bucket=bucket))
     if formats is None:
         formats = tallies.select("source_path").distinct().withColumn("format", F.lit(fmt))
     return SummaryParts(tallies, formats, severity_samples(parse_marked(content, names, registry), k), k)
@@ -303,15 +322,16 @@ def summarize(
 
     Runs the detection job and the counting job, stores both small results in the shared folder, and
     returns a frame that reads them. With ``analytics`` the columns temporal, hourly, trend_direction and
-    peak_period are added, computed on the collected errors and warnings.
+    peak_period are added, computed on all errors and warnings, also those beyond the ``k`` samples.
     """
-    parts = summary_parts(lines, fmt, k, use_fallback, skip_blank, registry, found)
+    slots = (bucket or DEFAULT_BUCKET) if analytics else None
+    parts = summary_parts(lines, fmt, k, use_fallback, skip_blank, registry, found, slots)
     if not analytics:
         return assemble_parts(parts)
-    samples = materialize(parts.samples)
-    summary = assemble_parts(replace(parts, samples=samples))
+    summary = assemble_parts(replace(parts, samples=materialize(parts.samples)))
     sources = parts.formats.select("source_path")
-    extra = assemble_analytics(sources, temporal_distribution(samples, bucket), hourly_distribution(samples))
+    active = activity(parts.tallies)
+    extra = assemble_analytics(sources, temporal_distribution(active, bucket, "n"), hourly_distribution(active, "n"))
     return summary.join(extra, "source_path", "left")
 
 
